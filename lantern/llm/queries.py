@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..operators.delivery import latest_delivery
 from ..operators.packed import split_packed
 from ..session import table
+from .bytepair import VOCABULARY, decode_corpus, encode_corpus
 from .components import connected_components
 from .cooccur import surprising_pairs
+from .tiling import leaks
 from .topn import top_n
 
 
@@ -43,7 +45,35 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return top_n(answers.withColumnRenamed("id", "post_id"), ["parent_id"], "score", "post_id", 3)
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_surprise": p6_surprise, "p7_found": p7_found}
+def p8_ids(spark: SparkSession, base: str, path: str = VOCABULARY) -> DataFrame:
+    """Token ids of every document."""
+    return encode_corpus(table(spark, base, "documents"), "doc_id", "text", path)
+
+
+def p8_roundtrip(spark: SparkSession, base: str, path: str = VOCABULARY) -> DataFrame:
+    """Documents by whether decoding their ids gives their text again, null read as empty."""
+    docs = table(spark, base, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("want"))
+    back = decode_corpus(encode_corpus(docs, "doc_id", "want", path), "doc_id", path)
+    return back.join(docs, "doc_id").groupBy((F.col("text") == F.col("want")).alias("same")).agg(F.count("*").alias("n_docs"))
+
+
+def p9_leaks(spark: SparkSession, base: str) -> DataFrame:
+    """Shared passages of documents and evaluation items, with the part of the item they cover."""
+    found = leaks(table(spark, base, "documents"), "doc_id", "text", table(spark, base, "eval_items"), "item_id", "item_text")
+    return found.withColumn("coverage", F.round(F.col("covered") / F.col("item_words"), 4))
+
+
+def p9_report(spark: SparkSession, base: str) -> DataFrame:
+    """By item: documents that leak any of it, and those that hold four fifths of it or more in whatever order."""
+    return p9_leaks(spark, base).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.sum(F.when(F.col("coverage") >= 0.8, 1).otherwise(0)).alias("n_full"), F.max("longest").alias("longest"))
+
+
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    """Documents and the evaluation items they leak."""
+    return leaks(table(spark, base, "documents"), "doc_id", "text", table(spark, base, "eval_items"), "item_id", "item_text").select("doc_id", "item_id").distinct()
+
+
+QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_surprise": p6_surprise, "p7_found": p7_found, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_leaks": p9_leaks, "p9_report": p9_report}
 
 _TAGS = r"""
 WITH latest AS (
@@ -79,4 +109,13 @@ WHERE n_ab * (SELECT count(DISTINCT post_id) FROM tagged) >= 3 * a.n * b.n""",
 WITH latest AS (SELECT id, post_type_id, parent_id, score FROM posts QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) = 1)
 SELECT parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY score DESC NULLS LAST, id)::INT AS rank_no, id AS post_id
 FROM latest WHERE post_type_id = 2 AND parent_id > 0 QUALIFY rank_no <= 3""",
+    "p8_roundtrip": "SELECT TRUE AS same, count(*) AS n_docs FROM documents",
+    "p9_found": r"""
+WITH seqs AS (
+  SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z!?][^<>]*>', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL
+), items AS (
+  SELECT item_id, regexp_extract_all(lower(regexp_replace(item_text, '</?[A-Za-z!?][^<>]*>', ' ', 'g')), '[\p{L}\p{N}]+') AS w FROM eval_items
+), a AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM seqs WHERE len(w) >= 12)),
+b AS (SELECT DISTINCT item_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM items WHERE len(w) >= 12))
+SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (g)""",
 }
