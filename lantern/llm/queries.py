@@ -8,13 +8,46 @@ from pyspark.sql import functions as F
 from ..operators.delivery import latest_delivery
 from ..operators.packed import split_packed
 from ..session import table
+from .canonical import map_to_list
 from .bytepair import VOCABULARY, decode_corpus, encode_corpus
 from .components import connected_components
 from .cooccur import surprising_pairs
+from .pii import find_personal, name_lexicon
 from .tiling import leaks
 from .topn import top_n
 
 
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    """The place that each user's location means, 0 for none of the list."""
+    users = latest_delivery(table(spark, base, "users"), ["id"], ["location"]).withColumnRenamed("id", "user_id")
+    return map_to_list(users, "user_id", "location", table(spark, base, "places"))
+
+
+def p3_misses(spark: SparkSession, base: str) -> DataFrame:
+    """Locations that mean no place of the list, with the number of users who entered them."""
+    users = latest_delivery(table(spark, base, "users"), ["id"], ["location"]).withColumnRenamed("id", "user_id")
+    none = p3_found(spark, base).where("place_id = 0").select("user_id")
+    return users.join(none, "user_id", "left_semi").groupBy("location").agg(F.count("*").alias("n_users"))
+
+
+def personal(spark: SparkSession, base: str) -> DataFrame:
+    """(user_id, field_name, kinds, redacted) of about_me and location in the latest deliveries."""
+    users = table(spark, base, "users")
+    given, family = name_lexicon(users, "display_name")
+    latest = latest_delivery(users, ["id"], ["about_me", "location"]).withColumnRenamed("id", "user_id")
+    return find_personal(latest, "user_id", ["about_me", "location"], given, family)
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    """Kinds of personal information by user and field."""
+    return personal(spark, base).select("user_id", "field_name", F.explode("kinds").alias("kind"))
+
+
+def p5_redacted(spark: SparkSession, base: str) -> DataFrame:
+    """Every text with placeholders for what is personal in it."""
+    return personal(spark, base).select("user_id", "field_name", "redacted")
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     """Groups of posts joined by duplicate links."""
     links = table(spark, base, "postlinks").where("link_type_id = 3")
@@ -73,7 +106,7 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return leaks(table(spark, base, "documents"), "doc_id", "text", table(spark, base, "eval_items"), "item_id", "item_text").select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p6_found": p6_found, "p6_surprise": p6_surprise, "p7_found": p7_found, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_leaks": p9_leaks, "p9_report": p9_report}
+QUERIES = {"p3_found": p3_found, "p3_misses": p3_misses, "p5_found": p5_found, "p5_redacted": p5_redacted, "p4_found": p4_found, "p6_found": p6_found, "p6_surprise": p6_surprise, "p7_found": p7_found, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_leaks": p9_leaks, "p9_report": p9_report}
 
 _TAGS = r"""
 WITH latest AS (
