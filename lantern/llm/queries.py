@@ -13,6 +13,7 @@ from .bytepair import VOCABULARY, decode_corpus, encode_corpus
 from .components import connected_components
 from .cooccur import surprising_pairs
 from .pii import find_personal, name_lexicon
+from .residue import message_templates, residue
 from .tiling import leaks
 from .topn import top_n
 
@@ -106,7 +107,17 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return leaks(table(spark, base, "documents"), "doc_id", "text", table(spark, base, "eval_items"), "item_id", "item_text").select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p3_misses": p3_misses, "p5_found": p5_found, "p5_redacted": p5_redacted, "p4_found": p4_found, "p6_found": p6_found, "p6_surprise": p6_surprise, "p7_found": p7_found, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_leaks": p9_leaks, "p9_report": p9_report}
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    """Documents that are residue or hold a piece of it where content should be."""
+    return residue(table(spark, base, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p10_templates(spark: SparkSession, base: str) -> DataFrame:
+    """Templates of stored messages that exclude a document, with the number of messages of each."""
+    return message_templates(table(spark, base, "documents"), "text").where("verdict > 0")
+
+
+QUERIES = {"p3_found": p3_found, "p3_misses": p3_misses, "p5_found": p5_found, "p5_redacted": p5_redacted, "p4_found": p4_found, "p6_found": p6_found, "p6_surprise": p6_surprise, "p7_found": p7_found, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_leaks": p9_leaks, "p9_report": p9_report, "p10_found": p10_found, "p10_templates": p10_templates}
 
 _TAGS = r"""
 WITH latest AS (
