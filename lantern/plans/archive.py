@@ -60,11 +60,9 @@ judged AS (
   FROM one LEFT JOIN target USING (entity, value) LEFT JOIN gone USING (entity, value))
 """
 
-_P2 = r"""
-WITH latest AS (
-  SELECT id AS post_id, tags FROM (SELECT DISTINCT id, tags, loaded_at FROM posts)
-  QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC, tags DESC) = 1
-), plain AS (
+#: Reading a packed field by rule, as text shared with other queries.
+_PIECES = r"""
+plain AS (
   SELECT post_id, replace(replace(replace(tags, '&lt;', '<'), '&gt;', '>'), '&quot;', '"') AS t FROM latest WHERE trim(tags, E' \t\n') <> ''
 ), pieces AS (
   SELECT post_id, CASE
@@ -76,9 +74,25 @@ WITH latest AS (
                        WHEN trim(x) LIKE '''%''' THEN substr(trim(x), 2, length(trim(x)) - 2) ELSE x END)
     ELSE regexp_split_to_array(t, '\s+') END AS v
   FROM plain
-), tidy AS (SELECT post_id, list_filter(list_transform(v, lambda x: lower(replace(trim(x, E' \t\n'), '&amp;', '&'))), lambda x: x <> '') AS v FROM pieces)
-SELECT post_id, pos::INT AS pos, v[pos] AS tag FROM (SELECT post_id, v, unnest(generate_series(1, len(v))) AS pos FROM tidy)
-"""
+), tidy AS (SELECT post_id, list_filter(list_transform(v, lambda x: lower(replace(trim(x, E' \t\n'), '&amp;', '&'))), lambda x: x <> '') AS v FROM pieces)"""
+_P2 = (
+    """
+WITH latest AS (
+  SELECT id AS post_id, tags FROM (SELECT DISTINCT id, tags, loaded_at FROM posts)
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC, tags DESC) = 1
+),"""
+    + _PIECES
+    + """
+SELECT post_id, pos::INT AS pos, v[pos] AS tag FROM (SELECT post_id, v, unnest(generate_series(1, len(v))) AS pos FROM tidy)"""
+)
+#: tagged(post_id, tag): the tags of every question, each once; further expressions may follow.
+TAGS_SQL = (
+    """
+WITH latest AS (SELECT * FROM (SELECT id AS post_id, tags, post_type_id FROM posts QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) = 1) WHERE post_type_id = 1),"""
+    + _PIECES
+    + """,
+tagged AS (SELECT DISTINCT post_id, unnest(v) AS tag FROM tidy)"""
+)
 
 SQL = {
     "p1_found": _P1 + "SELECT * FROM judged WHERE reason IS NOT NULL",
