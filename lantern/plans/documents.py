@@ -69,13 +69,13 @@ def doc_search_filtered(spark: SparkSession, base: str) -> DataFrame:
     return search(docs, "doc_id", BOOSTS, asked(spark)).withColumnRenamed("doc", "doc_id")
 
 
-@BOOK.add("doc_source_hits", "WITH " + bm25_sql(_DOCS, _values(ASKED[:6]), 10, BOOSTS) + "SELECT query_id, 'doc_' || d.doc_id AS _id, score AS _score, d.doc_type, coalesce(d.title, '') AS title, d.post_id FROM hits h JOIN documents d ON d.doc_id = h.doc")
+@BOOK.add("doc_source_hits", "WITH " + bm25_sql(_DOCS, _values(ASKED[:6]), 10, BOOSTS) + "SELECT query_id, 'doc_' || d.doc_id AS _id, score AS _score, d.doc_type, coalesce(d.title, '') AS title, coalesce(d.post_id, 0) AS post_id FROM hits h JOIN documents d ON d.doc_id = h.doc")
 def doc_source_hits(spark: SparkSession, base: str) -> DataFrame:
     """Hits with their source fields (D6, D7); the few hits are broadcast to the one scan that fetches them."""
     docs = table(spark, base, "documents")
     hits = search(docs, "doc_id", BOOSTS, asked(spark).where("query_id <= 'd06'"))
     rows = docs.select("doc_id", "doc_type", "title", "post_id").join(F.broadcast(hits), F.col("doc_id") == F.col("doc"))
-    return rows.select("query_id", F.concat(F.lit("doc_"), F.col("doc_id")).alias("_id"), F.col("score").alias("_score"), "doc_type", F.coalesce("title", F.lit("")).alias("title"), "post_id")
+    return rows.select("query_id", F.concat(F.lit("doc_"), F.col("doc_id")).alias("_id"), F.col("score").alias("_score"), "doc_type", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("post_id", F.lit(0)).alias("post_id"))
 
 
 @BOOK.add("doc_index_stats", "WITH " + bm25_sql(_DOCS, _values(ASKED), 10, BOOSTS) + "SELECT field, n, round(avgdl, 4) AS avgdl FROM stats")
