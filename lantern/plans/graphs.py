@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import attached, both_ways, chain_roots, communities, pagerank, shortest_path, within_hops
 from ..operators.packed import split_packed
-from ..session import table
+from ..session import derived, table
 from .archive import TAGS_SQL
 from .book import Book, latest, top
 from .relational import MAIN, SECOND, THIRD
@@ -47,6 +47,10 @@ class Graph:
         return e.join(self.nodes(2).withColumnRenamed("id", "dst"), "dst", "left_semi")
 
     def tagged(self) -> DataFrame:
+        """(src, dst): questions and their tags, parsed once for all queries of a session."""
+        return derived(self.spark, self.base, "tagged", self._tagged)
+
+    def _tagged(self) -> DataFrame:
         posts = self.posts("tags").where("post_type_id = 1")
         e = split_packed(posts, "id", "tags").select(F.col("id").alias("src"), F.col("value").alias("dst")).distinct()
         return e.join(table(self.spark, self.base, "tags").select(F.lower("tag_name").alias("dst")).distinct(), "dst", "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import integrate as I
-from ..session import table
+from ..session import cut, table
 from .book import Book
 from .graphs import _TAGGED, Graph
 from .relational import MAIN, SECOND, THIRD
@@ -30,9 +30,9 @@ def batch(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFra
     asked = g.tagged().join(F.broadcast(questions(spark)), F.col("dst") == F.col("tag")).select("query_id", F.col("src").alias("post_id"))
     posts = g.posts("owner_user_id", "score", "view_count", "title").where("post_type_id = 1").select(F.col("id").alias("post_id"), F.col("owner_user_id").alias("user_id"), "score", "view_count", "title")
     of = asked.join(posts, "post_id")
-    rows = _ranked(of.select("query_id", "post_id", "user_id", "score", "view_count", "title"), 10, F.desc_nulls_last("score"), "post_id")
+    rows = _ranked(of.select("query_id", "post_id", "user_id", "score", "view_count", "title"), 30, F.desc_nulls_last("score"), "post_id")
     askers = of.where("user_id > 0").groupBy("query_id", "user_id").agg(F.count("*").alias("questions"), F.sum("view_count").alias("view_count"))
-    records = _ranked(askers, 10, F.desc("questions"), "user_id")
+    records = _ranked(askers, 30, F.desc("questions"), "user_id")
     docs = table(spark, base, "documents").where("post_id is not null and n_chars > 0").select("doc_id", "post_id", "title", "text", "n_chars")
     hits = _ranked(docs.join(asked, "post_id").select("query_id", F.concat(F.lit("doc_"), "doc_id").alias("_id"), F.col("n_chars").cast("double").alias("_score"), "post_id", F.coalesce("title", F.lit("")).alias("title"), F.col("text").alias("body"), "doc_id"), 10, F.desc("_score"), "doc_id").drop("doc_id")
     return rows, records, hits
@@ -41,14 +41,15 @@ def batch(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFra
 def items(spark: SparkSession, base: str, with_mentions: bool = False) -> DataFrame:
     rows, records, hits = batch(spark, base)
     parts = [I.normalise_rows(rows, "sql-posts", WEIGHTS["sql-posts"]), I.normalise_records(records, "graph-users", WEIGHTS["graph-users"]), I.normalise_hits(hits, "document-texts", WEIGHTS["document-texts"], with_mentions)]
-    return I.first_of_each(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    # At most ROWS rows a service and question; read several times by what follows.
+    return cut(I.first_of_each(parts[0].unionByName(parts[1]).unionByName(parts[2])))
 
 
 _TOPICS = "SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{t}')" for q, t in TOPICS) + ") AS v(query_id, tag)"
 _BATCH = _TAGGED.replace("WITH ", "WITH RECURSIVE ", 1) + f""", topics AS ({_TOPICS}),
 of AS (SELECT t.query_id, p.id AS post_id, p.owner_user_id AS user_id, p.score, p.view_count, p.title FROM topics t JOIN tag_e e ON e.dst = t.tag JOIN posts_l p ON p.id = e.src AND p.post_type_id = 1),
-sql_rows AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, post_id)::INT AS ord FROM of QUALIFY ord <= 10),
-graph_rows AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY questions DESC, user_id)::INT AS ord FROM (SELECT query_id, user_id, count(*) AS questions, sum(view_count)::BIGINT AS view_count FROM of WHERE user_id > 0 GROUP BY ALL) QUALIFY ord <= 10),
+sql_rows AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, post_id)::INT AS ord FROM of QUALIFY ord <= 30),
+graph_rows AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY questions DESC, user_id)::INT AS ord FROM (SELECT query_id, user_id, count(*) AS questions, sum(view_count)::BIGINT AS view_count FROM of WHERE user_id > 0 GROUP BY ALL) QUALIFY ord <= 30),
 doc_rows AS (SELECT o.query_id, 'doc_' || d.doc_id AS _id, d.n_chars::DOUBLE AS _score, d.post_id, coalesce(d.title, '') AS title, d.text AS body, row_number() OVER (PARTITION BY o.query_id ORDER BY d.n_chars DESC, d.doc_id)::INT AS ord FROM documents d JOIN of o ON o.post_id = d.post_id WHERE d.n_chars > 0 QUALIFY ord <= 10),
 items AS (
   SELECT query_id, 'sql-posts' AS service_id, 'sql' AS source_type, 0.5::DOUBLE AS weight, ord, coalesce('sql-posts:user_id:' || user_id, 'sql-posts:post_id:' || post_id) AS item_id,

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,6 +44,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_derived: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def derived(spark: SparkSession, base: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that many queries derive from a data directory alike, built once per session.
+
+    Kept where memory allows and on disk otherwise; what an executor loses is computed again.
+    """
+    key = (spark.sparkContext.applicationId, base, name)
+    if key not in _derived:
+        _derived[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+    return _derived[key]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as there are cores.
 
