@@ -91,13 +91,13 @@ def plain(text: str) -> tuple[str, list[int] | None, list[int] | None]:
 
 _AT = r"(?:\s?@\s?|\s*[\(\[\{<]\s*(?:at|@)\s*[\)\]\}>]\s*)"
 _DOT = r"(?:\.|\s*[\(\[\{]\s*(?:dot|\.)\s*[\)\]\}]\s*)"
-_LOCAL, _LABEL = r"(?<![\w.+-])[\w](?:[\w.+%'-]*[\w])?", r"[\p{L}\d](?:[\p{L}\d-]*[\p{L}\d])?"
+_LOCAL, _LABEL = r"(?<![\w.+%'-])[\w](?:[\w.+%'-]{0,62}[\w])?", r"[\p{L}\d](?:[\p{L}\d-]{0,62}[\p{L}\d])?"
 _EMAIL = [
     regex.compile(rf"(?:mailto:)?{_LOCAL}{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}\p{{L}}{{2,}}(?![\w])", regex.I),
     regex.compile(rf"{_LOCAL}\s+at\s+{_LABEL}(?:\s+dot\s+{_LABEL})*\s+dot\s+\p{{L}}{{2,}}(?![\w])", regex.I),
 ]
 _ID = [
-    regex.compile(rf"(?<!\w)(?:{ID_LABELS})\b[\s:#.]*(?:(?:no|nr|number|num|nummer|is|n[°ºo])\b[\s:#.]*){{0,2}}(?P<v>(?=(?:[\p{{L}}0-9./ -]*\d){{4}})[\p{{L}}0-9]+(?:[./ -]?(?=[A-Z]?\d|[A-Z]\b)[A-Z0-9]+)*)", regex.I),
+    regex.compile(rf"(?<!\w)(?:{ID_LABELS})\b[\s:#.]*(?:(?:no|nr|number|num|nummer|is|n[°ºo])\b[\s:#.]*){{0,2}}(?P<v>(?=(?:[\p{{L}}0-9./ -]{{0,12}}\d){{4}})[\p{{L}}0-9]+(?:[./ -]?(?=[A-Z]?\d|[A-Z]\b)[A-Z0-9]+)*)", regex.I),
     regex.compile(r"(?<![\w.-])(?P<v>\d{3}-\d{2}-\d{4})(?![\w-])"),
     regex.compile(r"(?<![\w.-])(?P<v>[A-CEGHJ-PR-TW-Z][A-NPR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D])(?!\w)"),
     regex.compile(r"(?<![\w.-])(?P<v>\d{3}\.\d{3}\.\d{3}-\d{2})(?![\w-])"),
@@ -115,11 +115,11 @@ _PHONE = [
 ]
 _LOCAL_PHONE = regex.compile(rf"{_BEFORE}\d{{3}}-\d{{4}}{_AFTER}")
 _COUNTED = regex.compile(r"(?:ticket|order|build|version|row|issue|invoice|page|isbn|bug|case|room|id|no\.?|#|record|score|points?)[\s:#]*$", regex.I)
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+_NAME = r"\p{Lu}[\p{L}'’-]{1,60}"
 _ADDRESS = [
-    regex.compile(rf"(?<![\w.,/-])\d{{1,5}}\s?[A-Za-z]?(?:-\d{{1,5}}[A-Za-z]?)?,?\s+(?:[NSEW]\.?\s+)?[\p{{L}}'’-]{{2,}}\s+(?:{STREETS})\b\.?(?!\s+\p{{Lu}}[\p{{L}}]+\s+(?:rules?|club)\b)", regex.I),
+    regex.compile(rf"(?<![\w.,/-])\d{{1,5}}\s?[A-Za-z]?(?:-\d{{1,5}}[A-Za-z]?)?,?\s+(?:[NSEW]\.?\s+)?[\p{{L}}'’-]{{2,60}}\s+(?:{STREETS})\b\.?(?!\s+\p{{Lu}}[\p{{L}}]+\s+(?:rules?|club)\b)", regex.I),
     regex.compile(rf"(?<!\w){_NAME}\s+(?:{STREETS})\.?,?\s+(?:no\.?\s*)?\d{{1,5}}[A-Za-z]?\b(?!\s+\p{{Ll}}+s\b)", regex.I),
-    regex.compile(rf"(?<!\w)[\p{{L}}-]{{2,}}(?:{STREET_ENDS})\s+\d{{1,4}}\s?[a-z]?(?:/\d{{1,4}})*(?!\w)", regex.I),
+    regex.compile(rf"(?<![\w-])[\p{{L}}-]{{2,60}}(?:{STREET_ENDS})\s+\d{{1,4}}\s?[a-z]?(?:/\d{{1,4}})*(?!\w)", regex.I),
     regex.compile(rf"(?<!\w)(?:{STREET_HEADS})\s+(?:d[aeiou]s?\s+|del\s+|de la\s+|d')?[\p{{L}}'’-]{{2,}},?\s+(?:n[º°o]?\.?\s*)?\d{{1,5}}(?:/\d{{1,4}})*", regex.I),
     regex.compile(r"(?<![\w.,/-])\d{1,5}[A-Za-z]?,?\s+(?:bis,?\s+)?(?:rue|avenue|boulevard|place|chemin|impasse|quai)\s+(?:du|des|de la|de l'|de|d')\s*[\p{L}'’-]{2,}", regex.I),
 ]
@@ -233,12 +233,13 @@ def name_lexicon(names: DataFrame, column: str, least: int = 2, size: int = LEXI
 def find_personal(df: DataFrame, key: str, fields: list[str], given: set[str], family: set[str]) -> DataFrame:
     """(key, field_name, kinds, redacted): each non-null field with the kinds found in it and its redacted text.
 
-    kinds is a list without repeats in the order of KINDS, empty where nothing was found. Whole
-    texts are read, row by row, without a shuffle; the lexicon that is broadcast is bounded.
+    kinds is a list without repeats in the order of KINDS, empty where nothing was found. Rows
+    without a key are left out, a record delivered twice is read twice, an empty table gives no
+    rows, and columns besides the named ones are ignored. Whole texts are read, row by row, without a shuffle; the lexicon that is broadcast is bounded.
     """
     shared = df.sparkSession.sparkContext.broadcast((frozenset(given), frozenset(family)))
     kind = dict(df.dtypes)[key]
-    cells = df.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("text")) for f in fields])).alias("x")).select(key, "x.field_name", "x.text").where("text is not null")
+    cells = df.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("text")) for f in fields])).alias("x")).select(key, "x.field_name", "x.text").where(F.col(key).isNotNull() & F.col("text").isNotNull())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, f = shared.value

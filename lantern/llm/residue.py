@@ -103,10 +103,10 @@ _WORD = regex.compile(r"[\p{L}\p{N}'/]+")
 #: The words by which verdicts are given; a template never generalises them.
 KEPT = frozenset(w for source in (STATUS, ERRORS, SCRIPTS, DEMANDS, *(p.pattern for p in (_FILLER, _CUE, *_STRONG, *_WEAK))) for w in regex.findall(r"\p{L}{2,}", source)) | LOREM
 
-_FENCE = regex.compile(r"```.*?(?:```|\Z)|~~~\n.*?(?:\n~~~|\Z)|<pre\b.*?</pre>|<code\b.*?</code>|<kbd\b.*?</kbd>|<blockquote\b.*?</blockquote>|``[^\n]*?``|`[^`\n]*`", regex.S | regex.I)
+_FENCE = regex.compile(r"```.*?(?:```|\Z)|~~~\n.*?(?:\n~~~|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)|<kbd\b.*?(?:</kbd>|\Z)|<blockquote\b.*?(?:</blockquote>|\Z)|``[^\n]*?``|`[^`\n]*`", regex.S | regex.I)
 _INDENT = regex.compile(r"(?m)(?:(?<=\n\n)|\A)(?: {4}|\t\t)[^\n]*(?:\n(?: {4}|\t)[^\n]*)*|^\s*(?:>|&gt;)[^\n]*$")
 _QUOTE = regex.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“”\n]{1,200}[“”]|«[^»\n]{1,200}»|&quot;(?:(?!&quot;)[^\n]){1,200}&quot;")
-_BREAK = regex.compile(r"<!--.*?-->|</?(?:p|div|br|hr|h\d|li|ul|ol|tr|td|th|table|title|head|body|html|noscript|section|article|header|footer)\b[^<>]*>", regex.S | regex.I)
+_BREAK = regex.compile(r"<!--.*?(?:-->|\Z)|</?(?:p|div|br|hr|h\d|li|ul|ol|tr|td|th|table|title|head|body|html|noscript|section|article|header|footer)\b[^<>]*>", regex.S | regex.I)
 _HTML = "a|abbr|acronym|address|article|aside|b|base|bdi|bdo|big|blockquote|body|br|button|caption|center|cite|code|col|colgroup|dd|del|details|dfn|div|dl|dt|em|fieldset|figcaption|figure|font|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|i|iframe|img|input|ins|kbd|label|legend|li|link|main|map|mark|meta|nav|noscript|object|ol|optgroup|option|p|param|pre|q|s|samp|script|section|select|small|span|strike|strong|style|sub|summary|sup|table|tbody|td|textarea|tfoot|th|thead|time|title|tr|tt|u|ul|var|video|audio|canvas|svg|path|source"
 _TAG = regex.compile(rf"</?(?:{_HTML})\b[^<>]*/?>", regex.I)
 _SENTENCE = regex.compile(r"\n+|(?<=[.!?:;…])[)\]\"”»]*\s+(?=[\p{Lu}\p{Lo}\"“«(\[<{])|(?<=[。！？])|\s+(?=(?:Fatal error|Parse error|Warning|Notice|Traceback \(most|HTTP error \d|Script timeout)\b)")
@@ -206,9 +206,9 @@ def verdict(template: str) -> int:
     sure = sum(w in LOREM and w not in SHARED for w in words)
     if latin >= 4 and sure >= 3 and latin >= 0.6 * len(words):
         return 2
-    if _FILLER.fullmatch(core):
+    if len(words) <= 40 and _FILLER.fullmatch(core):
         return 2 if len(words) > 1 else 1
-    if any(p.fullmatch(template) for p in _WEAK) and not _TALK.search(template):
+    if len(words) <= 40 and any(p.fullmatch(template) for p in _WEAK) and not _TALK.search(template):
         return 1
     plain = [w for w in words if w != "*"]
     if len(plain) >= 2 and len(set(plain)) == 1:
@@ -259,12 +259,13 @@ def message_templates(df: DataFrame, text: str) -> DataFrame:
 def residue(df: DataFrame, key: str, text: str, block: int = BLOCK) -> DataFrame:
     """(key, why): records that are residue or hold a piece of it, why being 'message' or 'slot'.
 
-    Null, empty and blank texts are no cases. Whole texts are read twice, once to mine and once to
+    Null, empty and blank texts and rows without a key are no cases; a record delivered twice is
+    reported twice; only the named columns are read; an empty table gives no rows. Whole texts are read twice, once to mine and once to
     propagate; what is shuffled are the templates that hold a classifying word, and what is broadcast
     are those with a verdict, in blocks of at most `block`, each read by one more pass.
     """
     spark = df.sparkSession
-    docs = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull()))
+    docs = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null"))
     judged = message_templates(df, text).where("verdict > 0").select("template", "verdict")
     found = [(r.template, r.verdict) for r in judged.orderBy("template").toLocalIterator()]
     kind = dict(df.dtypes)[key]

@@ -24,7 +24,7 @@ SHORTEST = 12
 #: Characters of items held in one index; more items are searched in so many blocks more.
 BLOCK_CHARS = 20_000_000
 
-_TAG = re.compile(r"<!--.*?-->|</?[A-Za-z!?][^<>]*>", re.S)
+_TAG = re.compile(r"</?[A-Za-z!?][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
 _BASE, _MOD = 1_000_003, (1 << 61) - 1
 
@@ -126,13 +126,15 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     covered is the number of words of the item under tiles. The items are a stated query set; they
     are indexed in blocks of at most block_chars characters, each block is broadcast and the
     documents are read once per block, row by row and whole, without a shuffle. Null and empty
-    texts and items shorter than a window match nothing; items under one key are searched each.
+    texts, rows without a key and items shorter than a window match nothing; items under one key
+    are searched each, and a document delivered twice is reported twice. Only the named columns are
+    read. Empty tables give no rows.
     """
     sizes = items.select(F.sum(F.length(item_text)).alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(sizes) // block_chars))
     sc = docs.sparkSession.sparkContext
     schema = f"{key} {dict(docs.dtypes)[key]}, {item_key} {dict(items.dtypes)[item_key]}, n_tiles int, longest int, covered int, item_words int"
-    source = spread(docs.select(key, text).where(F.col(text).isNotNull()))
+    source = spread(docs.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull()))
     out = None
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == b)
