@@ -164,9 +164,13 @@ class Compiler:
             state.df = rows if state.df is None else state.df.crossJoin(rows)
         state.labels.setdefault(var, label)
         for k, v in self._props(m["props"]).items():
-            state.df = state.df.where(self._property(state, var, k) == F.lit(v))
+            self._keep(state, self._property(state, var, k) == F.lit(v))
         return var
 
+    def _keep(self, state: _State, condition: Column) -> None:
+        """Filters after the condition was built: building it may have joined the property it reads."""
+        state.df = state.df.where(condition)
+
     def _property(self, state: _State, var: str, name: str) -> Column:
         if var in state.rels:
             if name not in state.rels[var]:
@@ -253,10 +257,10 @@ class Compiler:
             state.rels[r["var"]] = props
         state.labels.setdefault(a, start["label"] or from_label)
         for k, v in (self._props(start["props"]) if left is None else {}).items():
-            state.df = state.df.where(self._property(state, a, k) == F.lit(v))
+            self._keep(state, self._property(state, a, k) == F.lit(v))
         state.labels.setdefault(b, end["label"] or to_label)
         for k, v in self._props(end["props"]).items():
-            state.df = state.df.where(self._property(state, b, k) == F.lit(v))
+            self._keep(state, self._property(state, b, k) == F.lit(v))
         return b
 
     def _where(self, state: _State, text: str) -> None:
@@ -273,7 +277,7 @@ class Compiler:
             m = re.match(r"(\w+)\.(\w+)\s*(<>|>=|<=|=|>|<|\bIN\b|IS NOT NULL|IS NULL|CONTAINS|STARTS WITH)\s*(.*)$", cond.strip(), re.I | re.S)
             if not m:
                 raise CypherError(f"cannot read condition {cond[:60]}")
-            state.df = state.df.where(self._compare(self._property(state, m[1], m[2]), m[3].upper(), m[4], state))
+            self._keep(state, self._compare(self._property(state, m[1], m[2]), m[3].upper(), m[4], state))
 
     def _compare(self, left: Column, op: str, right: str, state: _State | None) -> Column:
         if op == "IS NULL":

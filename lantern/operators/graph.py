@@ -22,7 +22,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def attached(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """Distinct edges whose both ends exist; sources and targets have one column each."""
     s, t = sources.toDF("src").distinct(), targets.toDF("dst").distinct()
-    return edges.where("src is not null and dst is not null").join(s, "src", "left_semi").join(t, "dst", "left_semi").distinct()
+    return edges.where("src is not null and dst is not null").join(s, "src", "left_semi").join(t, "dst", "left_semi").select(*edges.columns).distinct()
 
 
 def within_hops(edges: DataFrame, start, hops: int, directed: bool = True) -> DataFrame:

@@ -67,7 +67,7 @@ def normalise_rows(df: DataFrame, service: str, weight: float) -> DataFrame:
     for c in TAG_COLUMNS:
         if c in columns:
             angled = F.regexp_extract_all(F.col(c), F.lit("<([^>]+)>"), F.lit(1))
-            plain = F.filter(F.transform(F.split(F.col(c), ","), F.trim), lambda x: x != "")
+            plain = F.filter(F.transform(F.split(F.col(c), ","), lambda x: F.trim(x)), lambda x: x != "")
             tags = F.coalesce(F.when(F.size(angled) > 0, angled).otherwise(plain), F.array().cast("array<string>"))
             entities.append(F.transform(tags, lambda x: _entity("tag", x, 1.0)))
     found = F.filter(F.concat(*entities), lambda e: e["value"].isNotNull()) if entities else _present([])
