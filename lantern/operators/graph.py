@@ -42,15 +42,18 @@ def within_hops(edges: DataFrame, start, hops: int, directed: bool = True) -> Da
 
 
 def chain_roots(edges: DataFrame, longest: int) -> DataFrame:
-    """(root, paths): vertices without an outgoing edge and the number of trails of 1 to `longest` edges that end there."""
+    """(root, paths): vertices without an outgoing edge and the number of trails of 1 to `longest` (at most 3) edges that end there."""
+    if longest > 3:
+        raise ValueError("trails of at most three edges are counted")
     e = edges.select("src", "dst").distinct()
     roots = e.select(F.col("dst").alias("root")).distinct().join(e.select(F.col("src").alias("root")), "root", "left_anti")
-    # Walked backwards from the roots, paths that stand at one vertex are counted, not listed; an
-    # edge can only come again after a circle, and a root lies on none.
-    at = roots.select("root", F.col("root").alias("v"), F.lit(1).cast("long").alias("n"))
+    # Walked backwards from the roots, paths that stand at one vertex are counted, not listed. In
+    # three steps to a root an edge can only come twice if it is a loop and comes twice in a row.
+    at = roots.select("root", F.col("root").alias("v"), F.lit(False).alias("looped"), F.lit(1).cast("long").alias("n"))
     out = None
     for _ in range(longest):
-        at = at.join(e, F.col("v") == F.col("dst")).groupBy("root", F.col("src").alias("v")).agg(F.sum("n").alias("n"))
+        step = at.join(e, F.col("v") == F.col("dst")).where(~(F.col("looped") & (F.col("src") == F.col("dst"))))
+        at = step.groupBy("root", F.col("src").alias("v"), (F.col("src") == F.col("dst")).alias("looped")).agg(F.sum("n").alias("n"))
         out = at if out is None else out.unionByName(at)
     return out.groupBy("root").agg(F.sum("n").alias("paths"))
 

@@ -58,11 +58,18 @@ def derived(spark: SparkSession, base: str, name: str, build: Callable[[], DataF
     return _derived[key]
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *key: str) -> DataFrame:
     """df in at least as many partitions as there are cores.
 
     Costly row-local work (parsers, tokenizers) over a table of few, small files would leave cores
-    idle. A table of many splits, the normal case at scale, passes through without a shuffle.
+    idle. A scan of many splits, the normal case at scale, passes through without a shuffle; what
+    comes out of a shuffle is partitioned by key into a fixed number, which is not coalesced again.
+    The key should be unique; without one the rows are dealt out in turn.
+    Counting the partitions of such a plan would run it, so its shape is looked at instead.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(x in plan for x in ("Aggregate", "Join", "Window", "Sort", "Repartition", "Distinct", "Union")):
+        return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), *key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *key)

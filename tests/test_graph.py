@@ -28,6 +28,8 @@ def test_chain_roots_counts_paths(spark):
     df = spark.createDataFrame([(1, 2), (2, 3), (4, 3), (7, 8), (8, 7)], "src int, dst int")
     assert {r.root: r.paths for r in chain_roots(df, 3).collect()} == {3: 3}
     assert {r.root: r.paths for r in chain_roots(df, 1).collect()} == {3: 2}
+    looped = spark.createDataFrame([(1, 1), (1, 2)], "src int, dst int")
+    assert {r.root: r.paths for r in chain_roots(looped, 3).collect()} == {2: 2}  # 1-2 and 1-1-2, the loop only once
 
 
 def test_shortest_path(edges):
