@@ -251,7 +251,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, path: str = VOCABULARY) ->
             flat = np.fromiter((i for r in rows for i in r), np.int32, int(ends[-1]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[key, "ids"])
 
-    return spread(df.select(key, text)).mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return spread(df.select(key, text), key).mapInArrow(run, f"{key} {kind}, ids array<int>")
 
 
 def decode_corpus(df: DataFrame, key: str, path: str = VOCABULARY) -> DataFrame:

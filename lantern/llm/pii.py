@@ -252,4 +252,4 @@ def find_personal(df: DataFrame, key: str, fields: list[str], given: set[str], f
                 texts.append(redacted(t, found))
             yield pd.DataFrame({key: d[key], "field_name": d["field_name"], "kinds": kinds, "redacted": texts})
 
-    return spread(cells).mapInPandas(run, f"{key} {kind}, field_name string, kinds array<string>, redacted string")
+    return spread(cells, key).mapInPandas(run, f"{key} {kind}, field_name string, kinds array<string>, redacted string")

@@ -265,7 +265,7 @@ def residue(df: DataFrame, key: str, text: str, block: int = BLOCK) -> DataFrame
     are those with a verdict, in blocks of at most `block`, each read by one more pass.
     """
     spark = df.sparkSession
-    docs = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null"))
+    docs = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null"), "key")
     judged = message_templates(df, text).where("verdict > 0").select("template", "verdict")
     found = [(r.template, r.verdict) for r in judged.orderBy("template").toLocalIterator()]
     kind = dict(df.dtypes)[key]

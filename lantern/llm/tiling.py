@@ -134,7 +134,7 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     blocks = max(1, -(-int(sizes) // block_chars))
     sc = docs.sparkSession.sparkContext
     schema = f"{key} {dict(docs.dtypes)[key]}, {item_key} {dict(items.dtypes)[item_key]}, n_tiles int, longest int, covered int, item_words int"
-    source = spread(docs.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull()))
+    source = spread(docs.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull()), key)
     out = None
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == b)
