@@ -20,14 +20,14 @@ CODEBOOK = 65536
 CHAR_BITS, END_BITS, STRAY_BITS = 5.0, 4.0, 40.0
 
 DELIMITERS = r";,|\t"
-_BARE = rf"(?:\\.|[^{DELIMITERS}\\])+"
+_BARE = rf"(?:\\.|[^{DELIMITERS}\\]++)+"
 _ENTITY = r"(?i)&(lt|gt|amp|quot|apos|nbsp|#\d+|#x[0-9a-f]+);"
 _EDGE_QUOTE = rf"(^|[\s{DELIMITERS}])[\"']"
 
 
 def _quoted(marks: str) -> str:
     """Pattern of one piece of a delimited field in which values may be enclosed in the given marks."""
-    alts = [rf"[^\S\t]*{m}(?:[^{m}\\]|{m}{m}|\\.)*{m}[^\S\t]*(?=[{DELIMITERS}]|$)" for m in marks]
+    alts = [rf"[^\S\t]*{m}(?:[^{m}\\]++|{m}{m}|\\.)*{m}[^\S\t]*(?=[{DELIMITERS}]|$)" for m in marks]
     return "|".join([*alts, _BARE])
 
 
@@ -39,7 +39,7 @@ def restore_entities(c: Column) -> Column:
 
 
 def _tidy(x: Column) -> Column:
-    return F.lower(F.regexp_replace(x, r"^[\s ]+|[\s ]+$", ""))
+    return F.lower(F.regexp_replace(x, r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
 
 
 def _full(values: Column) -> Column:
@@ -56,7 +56,7 @@ def _unquote(x: Column, marks: str) -> Column:
 
 
 def _json(t: Column) -> Column:
-    loose = F.transform(F.regexp_extract_all(t, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1)), lambda x: F.regexp_replace(x, r"\\(.)", "$1"))
+    loose = F.transform(F.regexp_extract_all(t, F.lit(r'"((?:[^"\\]++|\\.)*)"'), F.lit(1)), lambda x: F.regexp_replace(x, r"\\(.)", "$1"))
     return _full(F.transform(F.coalesce(F.from_json(t, "array<string>"), loose), _tidy))
 
 
@@ -70,7 +70,7 @@ def _delimited(t: Column, marks: str) -> Column:
 
 
 def _blank(t: Column) -> Column:
-    return _full(F.transform(F.split(t, r"[\s ]+"), _tidy))
+    return _full(F.transform(F.split(t, r"[\s\u00a0]+"), _tidy))
 
 
 def candidate_readings(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -94,7 +94,7 @@ def candidate_readings(df: DataFrame, key: str, text: str) -> DataFrame:
         c = F.col(t)
         values[f"json_{t}"] = F.when(F.rlike(c, F.lit(r"^\s*\[.*\]\s*$")), _json(c))
         values[f"angle_{t}"] = F.when(F.rlike(c, F.lit(r"<[^<>]*>")), _angle(c))
-        kinds += [(f"json_{t}", t, r'"(?:[^"\\]|\\.)*"|[\s,\[\]]'), (f"angle_{t}", t, rf"<[^<>]*>|[^<>\[\]]")]
+        kinds += [(f"json_{t}", t, r'"(?:[^"\\]++|\\.)*"|[\s,\[\]]'), (f"angle_{t}", t, rf"<[^<>]*>|[^<>\[\]]")]
         for name, marks in (("bare", ""), ("double", '"'), ("single", "'"), ("both", "\"'")):
             has = F.lit(True) if not marks else F.rlike(c, F.lit(rf"(^|[\s{DELIMITERS}])[{marks}]"))
             values[f"{name}_{t}"] = F.when(F.col("marked") & has, _delimited(c, marks))

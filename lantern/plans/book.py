@@ -36,9 +36,15 @@ def with_latest(*names: str) -> str:
     return "WITH " + ", ".join(_LATEST.format(n) for n in names) + "\n"
 
 
-def latest(spark: SparkSession, base: str, name: str, *columns: str) -> DataFrame:
-    """The given columns of a table, one row per id, as last delivered."""
-    return latest_delivery(table(spark, base, name), ["id"], list(columns))
+def latest(spark: SparkSession, base: str, name: str, *columns: str, where: str | None = None) -> DataFrame:
+    """The given columns of a table, one row per id, as last delivered.
+
+    where is a condition on columns that are the same in all deliveries of a record (its id, dates
+    and references); it is applied at the scan, so rows it excludes are never shuffled. Conditions
+    on anything else belong after the call, since a later delivery may change what they read.
+    """
+    rows = table(spark, base, name)
+    return latest_delivery(rows.where(where) if where else rows, ["id"], list(columns))
 
 
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:

@@ -22,8 +22,8 @@ class Graph:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base
 
-    def posts(self, *columns: str) -> DataFrame:
-        return latest(self.spark, self.base, "posts", "post_type_id", *columns)
+    def posts(self, *columns: str, where: str | None = None) -> DataFrame:
+        return latest(self.spark, self.base, "posts", "post_type_id", *columns, where=where)
 
     def users(self) -> DataFrame:
         return table(self.spark, self.base, "users").select("id").where("id is not null")
@@ -32,15 +32,15 @@ class Graph:
         return self.posts().where(f"post_type_id = {kind}").select("id")
 
     def asked(self) -> DataFrame:
-        e = self.posts("owner_user_id").where("post_type_id = 1").select(F.col("owner_user_id").alias("src"), F.col("id").alias("dst"))
+        e = self.posts("owner_user_id", where="owner_user_id > 0").where("post_type_id = 1").select(F.col("owner_user_id").alias("src"), F.col("id").alias("dst"))
         return e.where("src is not null").join(self.users().withColumnRenamed("id", "src"), "src", "left_semi")
 
     def answered(self) -> DataFrame:
-        e = self.posts("owner_user_id").where("post_type_id = 2").select(F.col("owner_user_id").alias("src"), F.col("id").alias("dst"))
+        e = self.posts("owner_user_id", where="owner_user_id > 0").where("post_type_id = 2").select(F.col("owner_user_id").alias("src"), F.col("id").alias("dst"))
         return e.where("src is not null").join(self.users().withColumnRenamed("id", "src"), "src", "left_semi")
 
     def answers(self) -> DataFrame:
-        e = self.posts("parent_id").where("post_type_id = 2").select(F.col("id").alias("src"), F.col("parent_id").alias("dst"))
+        e = self.posts("parent_id", where="parent_id > 0").where("post_type_id = 2").select(F.col("id").alias("src"), F.col("parent_id").alias("dst"))
         return e.join(self.nodes(1).withColumnRenamed("id", "dst"), "dst", "left_semi")
 
     def accepted(self) -> DataFrame:

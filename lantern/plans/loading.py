@@ -132,7 +132,7 @@ def etl_document_corpus(spark: SparkSession, base: str) -> DataFrame:
 @BOOK.add("etl_communities", "SELECT replace(lower(trim(source, E' \\t\\n\\u00a0')), '_', '-') AS community, count(*) AS n, count(DISTINCT post_id) AS threads FROM documents WHERE source IS NOT NULL GROUP BY 1")
 def etl_communities(spark: SparkSession, base: str) -> DataFrame:
     """Rows of several communities under one spelling of each name."""
-    name = F.translate(F.lower(F.regexp_replace("source", r"^[ \t\n ]+|[ \t\n ]+$", "")), "_", "-")
+    name = F.translate(F.lower(F.regexp_replace("source", r"^[ \t\n\u00a0]+|[ \t\n\u00a0]+$", "")), "_", "-")
     return table(spark, base, "documents").where("source is not null").groupBy(name.alias("community")).agg(F.count("*").alias("n"), F.countDistinct("post_id").alias("threads"))
 
 

@@ -15,8 +15,8 @@ BOOK = Book()
 MAIN, SECOND, THIRD = "sylphnet-fold-split", "marrowdb-bin-width", "calderyx-view-merge"
 
 
-def questions(spark: SparkSession, base: str, *columns: str) -> DataFrame:
-    return latest(spark, base, "posts", "post_type_id", *columns).where("post_type_id = 1")
+def questions(spark: SparkSession, base: str, *columns: str, where: str | None = None) -> DataFrame:
+    return latest(spark, base, "posts", "post_type_id", *columns, where=where).where("post_type_id = 1")
 
 
 @BOOK.add("rel_top_users", with_latest("users") + "SELECT id, display_name, reputation, location FROM users_l ORDER BY reputation DESC NULLS FIRST, id LIMIT 10")
@@ -28,8 +28,8 @@ def rel_top_users(spark: SparkSession, base: str) -> DataFrame:
 @BOOK.add("rel_users_filter_date", with_latest("users") + "SELECT id, display_name, reputation, creation_date::DATE::VARCHAR AS joined FROM users_l WHERE reputation > 200 AND creation_date < '2021-01-01'")
 def rel_users_filter_date(spark: SparkSession, base: str) -> DataFrame:
     """Conjunction, timestamp comparison, cast to date."""
-    users = latest(spark, base, "users", "display_name", "reputation", "creation_date")
-    return users.where("reputation > 200 and creation_date < timestamp_ntz'2021-01-01'").select("id", "display_name", "reputation", F.to_date("creation_date").cast("string").alias("joined"))
+    users = latest(spark, base, "users", "display_name", "reputation", "creation_date", where="creation_date < timestamp_ntz'2021-01-01'")
+    return users.where("reputation > 200").select("id", "display_name", "reputation", F.to_date("creation_date").cast("string").alias("joined"))
 
 
 @BOOK.add("rel_top_questions", with_latest("posts") + "SELECT id, title, score, view_count, answer_count, tags FROM posts_l WHERE post_type_id = 1 ORDER BY score DESC NULLS FIRST, id LIMIT 20")
@@ -66,7 +66,7 @@ def rel_accepted_scored(spark: SparkSession, base: str) -> DataFrame:
 @BOOK.add("rel_badge_count", with_latest("users", "badges") + "SELECT u.id, u.display_name, count(b.id) AS badge_count FROM users_l u JOIN badges_l b ON b.user_id = u.id GROUP BY u.id, u.display_name ORDER BY badge_count DESC, u.id LIMIT 20")
 def rel_badge_count(spark: SparkSession, base: str) -> DataFrame:
     """Join, count, top-k (J1, A1): badges are counted per user before they meet the users, so a user with many badges is one row."""
-    counts = latest(spark, base, "badges", "user_id").where("user_id is not null").groupBy("user_id").agg(F.count("*").alias("badge_count"))
+    counts = latest(spark, base, "badges", "user_id", where="user_id is not null").groupBy("user_id").agg(F.count("*").alias("badge_count"))
     rows = latest(spark, base, "users", "display_name").join(counts, F.col("id") == F.col("user_id"))
     return top(rows.select("id", "display_name", "badge_count"), 20, F.col("badge_count").desc(), F.col("id"))
 
@@ -87,7 +87,7 @@ def rel_many_answers(spark: SparkSession, base: str) -> DataFrame:
 @BOOK.add("rel_monthly_volume", with_latest("posts") + "SELECT date_trunc('month', creation_date)::DATE::VARCHAR AS month, count(*) AS question_count FROM posts_l WHERE post_type_id = 1 AND creation_date >= '2022-01-01' AND creation_date < '2023-01-01' GROUP BY 1")
 def rel_monthly_volume(spark: SparkSession, base: str) -> DataFrame:
     """Half-open time range, group by an expression."""
-    rows = questions(spark, base, "creation_date").where("creation_date >= timestamp_ntz'2022-01-01' and creation_date < timestamp_ntz'2023-01-01'")
+    rows = questions(spark, base, "creation_date", where="creation_date >= timestamp_ntz'2022-01-01' and creation_date < timestamp_ntz'2023-01-01'")
     return rows.groupBy(F.to_date(F.date_trunc("month", "creation_date")).cast("string").alias("month")).agg(F.count("*").alias("question_count"))
 
 
@@ -125,7 +125,7 @@ def rel_tag_badge_holders(spark: SparkSession, base: str) -> DataFrame:
 @BOOK.add("rel_answer_scores", with_latest("posts") + "SELECT id AS answer_id, score, creation_date::DATE::VARCHAR AS created FROM posts_l WHERE post_type_id = 2 AND parent_id = 1")
 def rel_answer_scores(spark: SparkSession, base: str) -> DataFrame:
     """Key lookup."""
-    rows = latest(spark, base, "posts", "post_type_id", "parent_id", "score", "creation_date").where("post_type_id = 2 and parent_id = 1")
+    rows = latest(spark, base, "posts", "post_type_id", "score", "creation_date", where="parent_id = 1").where("post_type_id = 2")
     return rows.select(F.col("id").alias("answer_id"), "score", F.to_date("creation_date").cast("string").alias("created"))
 
 
@@ -139,7 +139,7 @@ def rel_zero_reputation(spark: SparkSession, base: str) -> DataFrame:
 @BOOK.add("rel_closed_duplicates", with_latest("posts", "postlinks") + "SELECT DISTINCT p.id, p.title, p.score FROM posts_l p JOIN postlinks_l l ON l.post_id = p.id AND l.link_type_id = 3 WHERE p.closed_date IS NOT NULL")
 def rel_closed_duplicates(spark: SparkSession, base: str) -> DataFrame:
     """Join with a constant in ON and DISTINCT (J2, A5), as a semi join."""
-    links = latest(spark, base, "postlinks", "post_id", "link_type_id").where("link_type_id = 3").select("post_id")
+    links = latest(spark, base, "postlinks", "post_id", "link_type_id", where="post_id is not null").where("link_type_id = 3").select("post_id")
     posts = latest(spark, base, "posts", "title", "score", "closed_date").where("closed_date is not null").drop("closed_date")
     return posts.join(links, F.col("id") == F.col("post_id"), "left_semi")
 
@@ -179,7 +179,7 @@ def rel_scored_in_tag(spark: SparkSession, base: str) -> DataFrame:
 @BOOK.add("rel_active_high_rep", with_latest("users", "posts") + "SELECT id AS user_id, display_name, reputation FROM users_l u WHERE reputation > 300 AND EXISTS (SELECT 1 FROM posts_l p WHERE p.owner_user_id = u.id AND p.creation_date >= '2023-01-01') ORDER BY reputation DESC, id LIMIT 20")
 def rel_active_high_rep(spark: SparkSession, base: str) -> DataFrame:
     """Correlated EXISTS as a semi join."""
-    active = latest(spark, base, "posts", "owner_user_id", "creation_date").where("creation_date >= timestamp_ntz'2023-01-01'").select("owner_user_id")
+    active = table(spark, base, "posts").where("creation_date >= timestamp_ntz'2023-01-01' and owner_user_id > 0").select("owner_user_id")
     users = latest(spark, base, "users", "display_name", "reputation").where("reputation > 300")
     return top(users.join(active, F.col("id") == F.col("owner_user_id"), "left_semi").withColumnRenamed("id", "user_id"), 20, down("reputation"), F.col("user_id"))
 

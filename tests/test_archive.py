@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from lantern.operators.delivery import latest_delivery
 from lantern.operators.orphans import Reference, heavy_keys, orphan_references, orphan_report
@@ -93,8 +94,11 @@ def test_packed_forms(spark):
 
 
 def test_packed_long_field_and_codebook_bound(spark):
-    df = spark.createDataFrame([(1, ",".join(f"t{n}" for n in range(5000))), (2, "<t1><t2>"), (3, "t1;t2")], "id int, tags string")
+    long = "ab " * 100000
+    rows = [(1, ",".join(f"t{n}" for n in range(5000))), (2, "<t1><t2>"), (3, "t1;t2"), (4, f"<{long}>"), (5, f"\"{long}\";x"), (6, f"x,{long}"), (7, f"[\"{long}\"]")]
+    df = spark.createDataFrame(rows, "id int, tags string")
     out = split_packed(df, "id", "tags")
     assert out.where("id = 1").count() == 5000
+    assert {r.id: r.n for r in out.where("id > 3 and length(value) > 299000").groupBy("id").agg(F.count("*").alias("n")).collect()} == {4: 1, 5: 1, 6: 1, 7: 1}
     assert codebook(candidate_readings(df, "id", "tags"), 2).count() == 2
     assert out.exceptAll(split_packed(df, "id", "tags", 2)).count() == 0

@@ -40,5 +40,7 @@ def test_no_plan_reads_more_than_it_needs(spark):
         pytest.skip("no test data here")
     plan = CORE["rel_top_users"][0](spark, BASE)._jdf.queryExecution().executedPlan().toString()
     assert "about_me" not in plan and "TakeOrderedAndProject" in plan
+    plan = CORE["rel_monthly_volume"][0](spark, BASE)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(creation_date" in plan.split("PushedFilters: ")[1].split("]")[0]
     plan = CORE["rel_gold_holders"][0](spark, BASE)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan

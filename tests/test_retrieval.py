@@ -125,3 +125,12 @@ def test_evaluation(spark):
     assert {r.system_name: (r["mean"], r.p50, r.p95) for r in evaluate.latency(log).collect()}["a"] == (20.0, 20.0, 29.0)
     assert {(r.system_name, r.service): r.rate for r in evaluate.translation_rate(log).collect()} == {("a", "sql"): 1.0, ("a", "graph"): 0.0, ("b", "sql"): 0.0}
     assert {r.system_name: (r.n, r.rate) for r in evaluate.conflict_rate(log).collect()} == {"a": (1, 1.0), "b": (0, 0.0)}
+
+
+def test_stemming(spark):
+    from lantern.functions.stem import stem, stemmed
+
+    # Examples of the published algorithm.
+    want = {"caresses": "caress", "ponies": "poni", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "sky": "sky", "relational": "relat", "digitizer": "digit", "hopefulness": "hope", "triplicate": "triplic", "adjustable": "adjust", "adoption": "adopt", "probate": "probat", "cease": "ceas", "controll": "control", "roll": "roll", "é": "é", "x1s": "x1s"}
+    assert {k: stem(k) for k in want} == want
+    assert one(spark, stemmed(array("running", "dogs"))) == ["run", "dog"] and one(spark, stemmed(F.lit(None).cast("array<string>"))) is None

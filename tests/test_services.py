@@ -231,3 +231,68 @@ def test_windows(spark, tmp_path):
     q = counted.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.kind, r.n) for r in spark.table("windows").collect()) == [("x", 1), ("x", 2), ("y", 1)]
+
+
+def test_load_job(spark, dump, tmp_path):
+    from lantern.jobs import load as job
+
+    (dump / "one" / "Tags.xml").write_text('<tags><row Id="1" TagName="a" Count="2" ExcerptPostId="9" /><row Id="2" TagName="B" Count="1" /></tags>')
+    (dump / "one" / "PostLinks.xml").write_text('<postlinks><row Id="1" PostId="7" RelatedPostId="7" LinkTypeId="1" /><row Id="2" PostId="7" RelatedPostId="99" LinkTypeId="3" /></postlinks>')
+    (dump / "one" / "Posts.xml").write_text('<posts><row Id="7" PostTypeId="1" Tags="&lt;a&gt;&lt;x&gt;" OwnerUserId="1" AcceptedAnswerId="8" Score="3" Title="T" Body="b" /><row Id="8" PostTypeId="2" ParentId="7" OwnerUserId="2" Body=" " /><row Id="9" PostTypeId="4" Body="about a" /></posts>')
+    out = str(tmp_path / "store")
+    assert job.load(spark, str(dump / "one"), f"{out}/dry", dry_run=True)["posts"] == 3
+    done = job.load(spark, str(dump / "one"), out)
+    assert {k: done[k] for k in ("users", "posts", "documents", "edges_asked", "edges_answers", "edges_accepted", "edges_tagged_with", "edges_linked_to", "edges_duplicate_of")} == {"users": 2, "posts": 3, "documents": 3, "edges_asked": 1, "edges_answers": 1, "edges_accepted": 1, "edges_tagged_with": 1, "edges_linked_to": 1, "edges_duplicate_of": 0}
+    assert {r._id for r in spark.read.parquet(f"{out}/documents.parquet").collect()} == {"post_7", "post_9", "tag_wiki_9"}
+    assert job.load(spark, str(dump / "one"), out) == {}  # all parts are complete
+
+
+def test_benchmark_job_resumes(spark, engine_parts, tmp_path):
+    from lantern.jobs.benchmark import Question, metrics, report, run
+
+    catalog, executor = engine_parts
+    engines = {s: Engine(spark, catalog, executor, RuleProvider(RULES), FixedProvider("fine"), s) for s in ("full", "sql_only")}
+    path = str(tmp_path / "log")
+    first = Question("c1", "1", "How many?", ("sql",))
+    assert run(spark, [first], engines, path) == 2
+    assert run(spark, [first, Question("c2", "4a", "Who knows whom?", ("sql", "graph"))], engines, path) == 2
+    assert run(spark, [first], engines, path) == 0
+    got = {(r.system_name, r.query_class): r["mean"] for r in metrics(spark, path)["coverage_by_class"].collect()}
+    # The services' ids say nothing of their kinds here, so only their count matters.
+    assert set(got) == {(s, c) for s in engines for c in ("1", "4a", "aggregate")}
+    report(spark, path, str(tmp_path / "report"))
+    assert (tmp_path / "report" / "latency_csv").exists()
+
+
+def test_http_provider():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from lantern.federation.providers import HttpProvider, from_environment
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((body["messages"][0]["content"], self.headers.get("Authorization")))
+            self.send_response(503 if len(seen) == 1 else 400 if "bad" in seen[-1][0] else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": "SELECT 1"}}], "usage": {"prompt_tokens": 7, "completion_tokens": 2}}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    p = HttpProvider(url, "m", pause=0.01)
+    assert p.complete("hello") == "SELECT 1" and len(seen) == 2  # the first try met a busy server
+    assert (p.usage.calls, p.usage.prompt_tokens, p.usage.reply_tokens) == (1, 7, 2)
+    with pytest.raises(Exception, match="400"):
+        p.complete("bad")
+    with pytest.raises(ValueError):
+        HttpProvider(url, "m", reply_at="nothing.here").complete("x")
+    assert from_environment({"LANTERN_LLM_URL": url, "LANTERN_LLM_KEY": "k"}).complete("x") == "SELECT 1" and seen[-1][1] == "Bearer k"
+    assert from_environment({}).complete("x") == "CANNOT_ANSWER"
+    server.shutdown()
