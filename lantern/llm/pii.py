@@ -40,7 +40,7 @@ TITLES = r"dr|prof|mr|mrs|ms|mx|herr|frau|señora?|sr|sra|mme|monsieur"
 INTRODUCTIONS = r"my name is|name's|ich heiße|ich heisse|je m'appelle|me llamo|mi nombre es|mi chiamo|meu nome é|regards,|signed,|c/o"
 NOT_PEOPLE = "theorem|test|lemma|method|distribution|transform|algorithm|index|law|inequality|systems|ltd|inc|llc|gmbh|corp|labs|analytics|software|institute|award|prize|university|street|lane|road"
 
-_ZERO = "­​‌‍‎‏⁠﻿"
+_ZERO = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
 _WORDS = "|".join(DIGIT_WORDS)
 _REWRITE = regex.compile(
     rf"(?P<tag><[^<>]+>)|(?P<entity>&(?:#\d+|#x[0-9a-f]+|[a-z]+\d?);)|(?P<digits>\b(?:{_WORDS})(?:[\s,-]+(?:{_WORDS})){{3,}}\b)|(?P<zero>[{_ZERO}])|(?P<other>[^\x00-\x7f])",
