@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..session import spread
 
 #: Words that choose the branch of the tree, and the share of equal words that joins a template.
-DEPTH, ALIKE = 2, 0.7
+DEPTH, ALIKE = 4, 0.7
 #: Templates with a verdict that are broadcast at once; more are propagated in so many passes more.
 BLOCK = 100_000
 
@@ -96,12 +96,32 @@ _CUE = regex.compile(
     rf"(?:{STATUS})|{ERRORS}|warning|fatal|traceback|exception|maintenance|blocked|banned|time-?d? ?out|expired|permission|connection (?:was|has|is)|upstream|mirror|server|session|log ?in|sign in|could ?not|couldn't|cannot|unable|failed|no longer|does(?: not|n't) exist|remov|moved|deleted|incomplete|captcha|checking|try again|later|reload|start page|home ?page|request id|reference|oops|sorry|undefined|null|none|nan\b"
     rf"|{SCRIPTS}|скрипт|スクリプト|脚本|cookies?|lorem|ipsum|dolor|consectetur|aliqu|\bhere\b|pending|missing|soon|todo|fixme|tb[acd]\b|placeholder|dummy|filler|sample|construction|x{{3,}}|content|below|blah|foo|asdf|test|text|\bline \d|\b(?:{'|'.join(sorted(LOREM - SHARED))})\b"
 )
+# The English words of which every message with a verdict has one.
+CUES = LOREM - SHARED | set(
+    """error errors warning notice deprecated fatal traceback exception maintenance blocked banned refused suspended limited rejected timeout timed time expired permission rights access connection upstream mirror server backend host
+    proxy session log login sign could couldn't cannot can't unable failed longer exist exists doesn't removed moved deleted changed never incomplete captcha checking try again later reload refresh back page home homepage start
+    request reference incident support trace ray oops sorry something wrong occurred undefined null none nan n/a javascript java js script scripts scripting ecmascript noscript cookie cookies here pending missing soon todo
+    fixme tbd tba tbc placeholder dummy filler sample construction progress content below yourself blah foo asdf test text line file unauthorized unauthorised forbidden found gone gateway unavailable required allowed
+    authorized authorised permitted acceptable large many implemented denied bad persists continues happens goes maybe activate enable follow set coming replace fill database loading fetching insert empty""".split()
+)
+
+
+def may_classify(segment: str) -> bool:
+    """Whether a message can get a verdict at all: a test of words, cheap enough for every message."""
+    if not segment.isascii():
+        return _CUE.search(segment) is not None
+    words = _WORD.findall(segment)
+    if not CUES.isdisjoint(words) or "xxx" in segment or (len(words) <= 12 and len(set(words)) <= 3):
+        return True
+    return any(w.endswith(("error", "exception")) for w in words)
+
+
 _SCRIPT = regex.compile(SCRIPTS + r"|скрипт|スクリプト|脚本")
 _DEMAND = regex.compile(rf"(?:{DEMANDS})")
 _WORD = regex.compile(r"[\p{L}\p{N}'/]+")
 
 #: The words by which verdicts are given; a template never generalises them.
-KEPT = frozenset(w for source in (STATUS, ERRORS, SCRIPTS, DEMANDS, *(p.pattern for p in (_FILLER, _CUE, *_STRONG, *_WEAK))) for w in regex.findall(r"\p{L}{2,}", source)) | LOREM
+KEPT = frozenset(w for source in (STATUS, ERRORS, SCRIPTS, DEMANDS, *(p.pattern for p in (_FILLER, _CUE, *_STRONG, *_WEAK))) for w in regex.findall(r"\p{L}{2,}", source)) | LOREM | CUES
 
 _FENCE = regex.compile(r"```.*?(?:```|\Z)|~~~\n.*?(?:\n~~~|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)|<kbd\b.*?(?:</kbd>|\Z)|<blockquote\b.*?(?:</blockquote>|\Z)|``[^\n]*?``|`[^`\n]*`", regex.S | regex.I)
 _INDENT = regex.compile(r"(?m)(?:(?<=\n\n)|\A)(?: {4}|\t\t)[^\n]*(?:\n(?: {4}|\t)[^\n]*)*|^\s*(?:>|&gt;)[^\n]*$")
@@ -236,7 +256,7 @@ def _mine(docs: DataFrame) -> DataFrame:
         for d in batches:
             for t in d["text"]:
                 for s in segments(mask(t)):
-                    if _CUE.search(s):
+                    if may_classify(s):
                         tree.add(words_of(s))
         rows = [(" ".join(w), n) for leaf in tree.leaves.values() for w, n in leaf]
         yield pd.DataFrame(rows, columns=["template", "n"])
@@ -267,7 +287,7 @@ def residue(df: DataFrame, key: str, text: str, block: int = BLOCK) -> DataFrame
     spark = df.sparkSession
     docs = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null"), "key")
     judged = message_templates(df, text).where("verdict > 0").select("template", "verdict")
-    found = [(r.template, r.verdict) for r in judged.orderBy("template").toLocalIterator()]
+    found = sorted((r.template, r.verdict) for r in judged.toLocalIterator())
     kind = dict(df.dtypes)[key]
 
     def pass_over(part: list[tuple[str, int]], first: bool) -> DataFrame:
