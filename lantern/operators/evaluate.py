@@ -18,6 +18,17 @@ MULTI = ["4a", "4b", "4c", "5"]
 SERVICES = ["sql", "graph", "document"]
 
 
+def canonical_rows(df: DataFrame, by_name: bool = False, skip_nulls: bool = True, limit: int = 200) -> DataFrame:
+    """(row): each row as col=value|col=value, as ground truths are compared.
+
+    Columns in their order or by name; nulls left out or as an empty value. Of more than limit rows
+    the first in the order of their text are kept.
+    """
+    columns = sorted(df.columns) if by_name else df.columns
+    cells = [F.concat(F.lit(f"{c}="), F.col(c).cast("string") if skip_nulls else F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
+    return df.select(F.concat_ws("|", *cells).alias("row")).orderBy("row").limit(limit)
+
+
 def queried_kinds() -> Column:
     return F.array_distinct(F.transform("queried_service_ids", service_kind))
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +30,26 @@ def local_session(app: str = "lantern", cores: str = "8", shuffle: str = "8", me
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, unless their workers find it anyway.
+
+    They do where the folder of the package is the working directory or on PYTHONPATH.
+    """
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent.parent
+    known = {Path(p).resolve() for p in [".", *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]}
+    if root in known or sc.applicationId in _shipped:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="lantern-")) / "lantern.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted((root / "lantern").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
     return spark.read.parquet(f"{base}/{name}.parquet")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.upsert import pending
 
@@ -33,6 +34,14 @@ def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FIXTURE).option("multiLine", True).json(path)
 
 
+def fixture_gaps(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
+    """(question_id, problem): wanted golden results that are missing or hold nothing to compare with."""
+    have = read_fixtures(spark, path).select("question_id", (F.coalesce(F.size("expected_ids"), F.lit(0)) > 0).alias("usable"))
+    want = spark.createDataFrame([(w,) for w in wanted], "question_id string")
+    problem = F.when(F.col("usable").isNull(), "missing").when(~F.col("usable"), "empty")
+    return want.join(have, "question_id", "left").select("question_id", problem.alias("problem")).where("problem is not null")
+
+
 def write_fixtures(rows: DataFrame, path: str) -> None:
     """Writes golden results unless they exist."""
     rows.write.mode("ignore").json(path)

@@ -118,6 +118,12 @@ def test_merging_conflicts_and_context(spark, batch):
     assert {r.query_id: r.n_items for r in short.collect()}["q"] == 0  # the first block does not fit, later ones are not tried
 
 
+def test_canonical_rows(spark):
+    df = spark.createDataFrame([(2, None, "x"), (1, 5, "y")], "b int, a int, c string")
+    assert [r.row for r in evaluate.canonical_rows(df).collect()] == ["b=1|a=5|c=y", "b=2|c=x"]
+    assert [r.row for r in evaluate.canonical_rows(df, by_name=True, skip_nulls=False).collect()] == ["a=5|b=1|c=y", "a=|b=2|c=x"]
+
+
 def test_evaluation(spark):
     log = spark.createDataFrame([("a", "1", ["sql"], ["x-sql"], 10.0, 0), ("a", "4a", ["sql", "graph"], ["x-sql"], 30.0, 2), ("b", "1", ["sql"], [], 20.0, 0)], "system_name string, query_class_label string, required_services array<string>, queried_service_ids array<string>, retrieval_ms double, conflict_count int")
     got = {(r.system_name, r.query_class): r["mean"] for r in evaluate.by_class(evaluate.with_coverage(log), "sc").collect()}

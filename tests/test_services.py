@@ -183,6 +183,8 @@ def test_logs(spark, tmp_path):
     (tmp_path / "fix").mkdir()
     (tmp_path / "fix" / "a.json").write_text(json.dumps({"question_id": "c3", "expected_ids": ["post_1"], "scores": [2.5], "top_k": 10}, indent=1))
     assert logs.read_fixtures(spark, str(tmp_path / "fix")).first().expected_ids == ["post_1"]
+    (tmp_path / "fix" / "b.json").write_text('{"question_id": "c4", "expected_ids": []}')
+    assert {tuple(r) for r in logs.fixture_gaps(spark, str(tmp_path / "fix"), ["c3", "c4", "c5"]).collect()} == {("c4", "empty"), ("c5", "missing")}
     logs.write_metrics({"sc": rows}, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out" / "sc_csv")).count() == 1
 
@@ -296,3 +298,13 @@ def test_http_provider():
     assert from_environment({"LANTERN_LLM_URL": url, "LANTERN_LLM_KEY": "k"}).complete("x") == "SELECT 1" and seen[-1][1] == "Bearer k"
     assert from_environment({}).complete("x") == "CANNOT_ANSWER"
     server.shutdown()
+
+
+def test_benchmark_questions():
+    import __spark_entry__ as entry
+    from lantern.jobs.questions import all_questions, truth
+
+    qs = all_questions()
+    assert len({q.question_id for q in qs}) == len(qs) == 72 and {q.label for q in qs} == {"1", "2", "3", "4a", "4b", "4c", "5"}
+    known = entry.queries()
+    assert all(truth(q.question_id) in known for q in qs if q.label in "123") and truth("c5_q01") is None
