@@ -114,7 +114,7 @@ _PHONE = [
     regex.compile(rf"(?<!\w)(?:{PHONE_LABELS})[.:,]?\s*(?:no\.?|number|is|at|on|:)?\s*(?P<v>\(?\d(?:[\s().-]?\d){{6,14}}){_AFTER}", regex.I),
 ]
 _LOCAL_PHONE = regex.compile(rf"{_BEFORE}\d{{3}}-\d{{4}}{_AFTER}")
-_COUNTED = regex.compile(r"(?:ticket|order|build|version|row|issue|invoice|page|isbn|bug|case|room|id|no\.?|#|record|score|points?)[\s:#]*$", regex.I)
+_COUNTED = regex.compile(r"(?<!\w)(?:ticket|order|build|version|row|issue|invoice|page|isbn|bug|case|room|id|no\.?|#|record|score|points?)[ \t:#]*\Z", regex.I)
 _NAME = r"\p{Lu}[\p{L}'’-]{1,60}"
 _ADDRESS = [
     regex.compile(rf"(?<![\w.,/-])\d{{1,5}}\s?[A-Za-z]?(?:-\d{{1,5}}[A-Za-z]?)?,?\s+(?:[NSEW]\.?\s+)?[\p{{L}}'’-]{{2,60}}\s+(?:{STREETS})\b\.?(?!\s+\p{{Lu}}[\p{{L}}]+\s+(?:rules?|club)\b)", regex.I),

@@ -21,7 +21,7 @@ def kinds(text):
     [
         ("mail a.b+c@mail.example.org now", ["email"]), ("a (at) b [dot] org", ["email"]), ("a.b AT host DOT net", ["email"]), ("x&#64;y.test", ["email"]), ('<a href="mailto:q@r.test">me</a>', ["email"]), ("ｑ＠ｒ.test", ["email"]),
         ("Rated 4.5 @ 46 votes", []), ("chat: @user_name", []), ("look at page 3 dot two", []),
-        ("+44 20 7946 0958", ["phone"]), ("(020) 555-0187", ["phone"]), ("tel: 2025550143", ["phone"]), ("five five five oh one nine nine", ["phone"]), ("202.555.0143", ["phone"]), ("030/23125-111", ["phone"]), ("1-800-555-0199 x12", ["phone"]),
+        ("+44 20 7946 0958", ["phone"]), ("(020) 555-0187", ["phone"]), ("tel: 2025550143", ["phone"]), ("five five five oh one nine nine", ["phone"]), ("202.555.0143", ["phone"]), ("030/23125-111", ["phone"]), ("1-800-555-0199 x12", ["phone"]), ("by F. Hortano.</p><p>0044-1632-960190", ["phone"]), ("Elm Row\n030/23125-936", ["phone"]),
         ("Version 12.34.567.890", []), ("Ticket 555-21647", []), ("Order ORD-2020-117426", []), ("12 345 678 points", []), ("ISBN 978-3-16-148410-0", []), ("on 2019-03-14 05:22", []),
         ("SSN: 123-45-6789", ["id_number"]), ("passport no. X1234567", ["id_number"]), ("NI number QQ 12 34 56 C", ["id_number"]), ("tax id 12/345/67890", ["id_number"]), ("driver's licence ABCDØ123456X9Y", ["id_number"]), ("Licence: do what you like", []),
         ("12 Elm Street", ["street_address"]), ("Elmgasse 4/2", ["street_address"]), ("Calle Olmo 14, 3º B", ["street_address"]), ("14 rue du Chêne", ["street_address"]), ("Elm Road 7", ["street_address"]), ("20 Minutes Down Memory Lane", []), ("the 13 Alder Rules", []), ("Tower Street Software", []),
