@@ -203,7 +203,7 @@ def rank(merged: DataFrame, top: int = TOP) -> DataFrame:
 
 def context(ranked: DataFrame, questions: DataFrame, chars: int = CONTEXT_CHARS) -> DataFrame:
     """(query_id, n_items, context): blocks in rank order up to the first that no longer fits; questions without any get an empty one."""
-    head = F.concat(F.lit("[SOURCE: "), F.array_join(F.transform("types", F.upper), " + "), F.lit(" | RANK: "), F.col("rank_no").cast("string"), F.lit(" | SCORE: "), F.format_string("%.3f", "final_score"), F.lit("]\n"))
+    head = F.concat(F.lit("[SOURCE: "), F.array_join(F.transform("types", F.upper), " + "), F.lit(" | RANK: "), F.col("rank_no").cast("string"), F.lit(" | SCORE: "), F.format_string("%.3f", F.bround("final_score", 3)), F.lit("]\n"))
     blocks = ranked.select("query_id", "rank_no", F.concat(head, "content", F.lit("\n")).alias("block"))
     upto = F.sum(F.length("block")).over(Window.partitionBy("query_id").orderBy("rank_no").rowsBetween(Window.unboundedPreceding, 0))
     fit = blocks.withColumn("upto", upto).where(F.col("upto") <= chars)

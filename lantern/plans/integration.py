@@ -156,7 +156,7 @@ def integ_rank(spark: SparkSession, base: str) -> DataFrame:
 
 @BOOK.add(
     "integ_context",
-    _BATCH + """, blocks AS (SELECT query_id, rank_no, '[SOURCE: ' || array_to_string(list_transform(list_filter(['sql', 'graph', 'document'], lambda t: list_contains(types, t)), lambda t: upper(t)), ' + ') || ' | RANK: ' || rank_no || ' | SCORE: ' || printf('%.3f', final_score) || E']\\n' || content || E'\\n' AS block FROM ranked),
+    _BATCH + """, blocks AS (SELECT query_id, rank_no, '[SOURCE: ' || array_to_string(list_transform(list_filter(['sql', 'graph', 'document'], lambda t: list_contains(types, t)), lambda t: upper(t)), ' + ') || ' | RANK: ' || rank_no || ' | SCORE: ' || printf('%.3f', round_even(final_score, 3)) || E']\\n' || content || E'\\n' AS block FROM ranked),
 fit AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY rank_no) AS upto FROM blocks QUALIFY upto <= 8000)
 SELECT t.query_id, count(f.block) AS n_items, md5(coalesce(string_agg(f.block, E'\\n' ORDER BY f.rank_no), '')) AS context_md5 FROM topics t LEFT JOIN fit f USING (query_id) GROUP BY t.query_id""",
 )
