@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.packed import split_packed
 from ..session import table
 from .archive import TAGS_SQL
 from .book import Book, down, latest, top, with_latest
@@ -153,8 +152,11 @@ GROUP BY t.tag_name HAVING count(*) >= 5 ORDER BY avg_score DESC, t.tag_name LIM
 )
 def rel_avg_score_per_tag(spark: SparkSession, base: str) -> DataFrame:
     """Join by a data-dependent pattern (P7, J3), written as explode and equi-join; decimal average and HAVING (A3, A4)."""
-    posts = questions(spark, base, "tags", "score")
-    tagged = split_packed(posts, "id", "tags").select("id", F.col("value").alias("tag")).distinct().join(posts.select("id", "score"), "id")
+    from .graphs import Graph  # which takes its constants from here
+
+    # The parsed tags that the graph queries share as well.
+    edges = Graph(spark, base).tagged().select(F.col("src").alias("id"), F.col("dst").alias("tag"))
+    tagged = edges.join(questions(spark, base, "score").select("id", "score"), "id")
     per_tag = tagged.groupBy("tag").agg(F.avg("score").cast("decimal(10,2)").cast("double").alias("avg_score"), F.count("*").alias("question_count")).where("question_count >= 5")
     names = table(spark, base, "tags").select("tag_name").distinct()
     rows = names.join(per_tag, F.lower("tag_name") == F.col("tag")).select("tag_name", "avg_score", "question_count")
