@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 from collections.abc import Iterator
+from re import _parser
 
 import pandas as pd
 import regex
@@ -96,7 +97,7 @@ _CUE = regex.compile(
     rf"(?:{STATUS})|{ERRORS}|warning|fatal|traceback|exception|maintenance|blocked|banned|time-?d? ?out|expired|permission|connection (?:was|has|is)|upstream|mirror|server|session|log ?in|sign in|could ?not|couldn't|cannot|unable|failed|no longer|does(?: not|n't) exist|remov|moved|deleted|incomplete|captcha|checking|try again|later|reload|start page|home ?page|request id|reference|oops|sorry|undefined|null|none|nan\b"
     rf"|{SCRIPTS}|скрипт|スクリプト|脚本|cookies?|lorem|ipsum|dolor|consectetur|aliqu|\bhere\b|pending|missing|soon|todo|fixme|tb[acd]\b|placeholder|dummy|filler|sample|construction|x{{3,}}|content|below|blah|foo|asdf|test|text|\bline \d|\b(?:{'|'.join(sorted(LOREM - SHARED))})\b"
 )
-# The English words of which every message with a verdict has one.
+# Further English words that a template never generalises.
 CUES = LOREM - SHARED | set(
     """error errors warning notice deprecated fatal traceback exception maintenance blocked banned refused suspended limited rejected timeout timed time expired permission rights access connection upstream mirror server backend host
     proxy session log login sign could couldn't cannot can't unable failed longer exist exists doesn't removed moved deleted changed never incomplete captcha checking try again later reload refresh back page home homepage start
@@ -106,16 +107,6 @@ CUES = LOREM - SHARED | set(
 )
 
 
-def may_classify(segment: str) -> bool:
-    """Whether a message can get a verdict at all: a test of words, cheap enough for every message."""
-    if not segment.isascii():
-        return _CUE.search(segment) is not None
-    words = _WORD.findall(segment)
-    if not CUES.isdisjoint(words) or "xxx" in segment or (len(words) <= 12 and len(set(words)) <= 3):
-        return True
-    return any(w.endswith(("error", "exception")) for w in words)
-
-
 _SCRIPT = regex.compile(SCRIPTS + r"|скрипт|スクリプト|脚本")
 _DEMAND = regex.compile(rf"(?:{DEMANDS})")
 _WORD = regex.compile(r"[\p{L}\p{N}'/]+")
@@ -123,6 +114,100 @@ _WORD = regex.compile(r"[\p{L}\p{N}'/]+")
 #: The words by which verdicts are given; a template never generalises them.
 KEPT = frozenset(w for source in (STATUS, ERRORS, SCRIPTS, DEMANDS, *(p.pattern for p in (_FILLER, _CUE, *_STRONG, *_WEAK))) for w in regex.findall(r"\p{L}{2,}", source)) | LOREM | CUES
 
+
+def _needed(pattern: str, flags: int = 0, most: int = 48) -> frozenset[str]:
+    """Strings of which every match of a pattern holds one, empty where there is no such set.
+
+    Derived from the parsed pattern: strings are joined along a sequence as long as there are at
+    most `most`, and of the sets along it the one with the longest strings is taken. Slots and
+    question marks end a string, since a message has other characters there than its template.
+    """
+
+    def least(strings: set[str]) -> set[str]:
+        return {x for x in strings if not any(y != x and y in x for y in strings)}
+
+    def worth(strings: set[str] | None) -> tuple[int, int]:
+        return (-1, 0) if not strings else (min(map(len, strings)), -len(strings))
+
+    def sequence(parts) -> tuple[set[str] | None, set[str] | None]:
+        whole, best, at = True, None, {""}
+        for part in parts:
+            exact, need = node(*part)
+            if exact is not None and len(at) * len(exact) <= most:
+                at = {x + y for x in at for y in exact}
+                continue
+            whole = False
+            best = max(best, at, need, key=worth)
+            at = {""} if exact is None else exact
+        return (at, at) if whole else (None, max(best, at, key=worth))
+
+    def node(op, x) -> tuple[set[str] | None, set[str] | None]:
+        """The strings a part can be, if they are few, and those of which it holds one."""
+        op = str(op)
+        if op == "LITERAL":
+            return (None, None) if chr(x) in "<*>?" else ({chr(x)}, {chr(x)})
+        if op == "AT":
+            return {""}, {""}
+        if op == "SUBPATTERN":
+            return sequence(x[-1])
+        if op == "IN" and all(str(o) == "LITERAL" and chr(c) not in "<*>?" for o, c in x):
+            return ({chr(c) for _, c in x},) * 2
+        if op == "IN" and [str(c) for _, c in x] == ["CATEGORY_SPACE"]:
+            return {" "}, {" "}
+        if op == "BRANCH":
+            exact, need = zip(*map(sequence, x[1]))
+            return set().union(*exact) if None not in exact else None, set().union(*need) if all(worth(n)[0] > 0 for n in need) else None
+        if op == "MAX_REPEAT":
+            low, high, inner = x
+            exact, need = sequence(inner)
+            if low == 0:
+                return (exact | {""}, {""}) if high == 1 and exact is not None else (None, None)
+            if exact is None or len(exact) ** low > most:
+                return None, need
+            again = {""}
+            for _ in range(low):
+                again = {a + b for a in again for b in exact}
+            return (again if low == high else None), again
+        return None, None
+
+    found = sequence(_parser.parse(pattern, flags))[1]
+    return frozenset(least(found)) if worth(found)[0] > 0 else frozenset()
+
+
+#: What a message with a verdict must hold one of. The alternative of no word in _WEAK is tested apart.
+NEEDED = [_needed(p.pattern.replace(r"|[\W_])+", ")+")) for p in (*_STRONG, *_WEAK)] + [_needed(_FILLER.pattern, _parser.SRE_FLAG_VERBOSE)]
+if not all(NEEDED):
+    raise ValueError("a pattern has no word by which its messages are found")
+_ANY = tuple(x for n in [frozenset().union(*NEEDED)] for x in sorted(n, key=len) if not any(y != x and y in x for y in n))
+_ANY_SCRIPT, _ANY_DEMAND = tuple(_needed(_SCRIPT.pattern)) + ("cookies",), tuple(_needed(DEMANDS))
+_LETTER = regex.compile(r"[^\W_]")
+
+
+def may_classify(segment: str) -> bool:
+    """Whether a message, or a template that it joins, can get a verdict at all (see verdict).
+
+    True for every message with one; cheap enough for every message.
+    """
+    if any(x in segment for x in _ANY):
+        return True
+    if any(x in segment for x in _ANY_SCRIPT) and any(x in segment for x in _ANY_DEMAND):
+        return True
+    if sum(w in LOREM and w not in SHARED for w in _WORD.findall(segment)) >= 3:
+        return True
+    # What is left are repeated words and messages of none. The words that no template of the message
+    # generalises are those of the first words and of the words that classify.
+    words = segment.replace("?", " ? ").split()
+    fixed: list[str] = []
+    for n, w in enumerate(words):
+        if not any(c.isdigit() for c in w):
+            own = _WORD.findall(w)
+            if n < DEPTH or not KEPT.isdisjoint(own):
+                fixed += own
+        if len(set(fixed)) > 3 and any(map(_LETTER.search, fixed)):
+            return False
+    return len(words) > DEPTH or len(fixed) >= 2 * len(set(fixed)) or not any(map(_LETTER.search, fixed))
+
+
 _FENCE = regex.compile(r"```.*?(?:```|\Z)|~~~\n.*?(?:\n~~~|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)|<kbd\b.*?(?:</kbd>|\Z)|<blockquote\b.*?(?:</blockquote>|\Z)|``[^\n]*?``|`[^`\n]*`", regex.S | regex.I)
 _INDENT = regex.compile(r"(?m)(?:(?<=\n\n)|\A)(?: {4}|\t\t)[^\n]*(?:\n(?: {4}|\t)[^\n]*)*|^\s*(?:>|&gt;)[^\n]*$")
 _QUOTE = regex.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“”\n]{1,200}[“”]|«[^»\n]{1,200}»|&quot;(?:(?!&quot;)[^\n]){1,200}&quot;")
@@ -249,7 +334,7 @@ def has_slot(masked: str) -> bool:
 
 
 def _mine(docs: DataFrame) -> DataFrame:
-    """(template, n): templates of the messages that hold a classifying word, mined per task and then added up."""
+    """(template, n): templates of the messages that can get a verdict, mined per task and then added up."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = Tree()

@@ -1,11 +1,13 @@
 """Personal information, tokenizer, tiling and residue: held-out cases, round trips and brute force."""
 
 import random
+from re import _parser
 
 import pytest
 
 from lantern.llm import bytepair as bp
 from lantern.llm.pii import find_personal, name_lexicon, plain, redacted, spans
+from lantern.llm import residue as rs
 from lantern.llm.residue import Tree, has_slot, mask, message_templates, residue, segments, verdict, words_of
 from lantern.llm.tiling import Index, leaks, tiles, words
 
@@ -190,3 +192,59 @@ def test_residue_operator(spark):
     assert residue(df.limit(0), "doc_id", "text").count() == 0
     counted = {r.template: r.n for r in message_templates(df, "text").where("verdict = 2").collect()}
     assert counted["<*> not found"] == 3
+
+
+def sample(parts, rnd):
+    """A random text that a parsed pattern matches."""
+    out = ""
+    for op, x in parts:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(x)
+        elif op == "SUBPATTERN":
+            out += sample(x[-1], rnd)
+        elif op == "BRANCH":
+            out += sample(rnd.choice(x[1]), rnd)
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(sample(x[2], rnd) for _ in range(rnd.randint(x[0], min(x[1], x[0] + 2))))
+        elif op == "IN":
+            o, c = rnd.choice(x)
+            out += chr(c) if str(o) == "LITERAL" else {"CATEGORY_SPACE": " ", "CATEGORY_WORD": "q", "CATEGORY_NOT_WORD": rnd.choice(" -,/'"), "CATEGORY_NOT_SPACE": "q"}[str(c)]
+        elif op == "ANY":
+            out += rnd.choice("q z,")
+    return out
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "fehler 404: seite nicht gefunden", "errore 404: pagina non trovata", "fout 404 - pagina niet gevonden", "erro 403: acesso negado", "seite wurde nicht gefunden", "you do not have privileges for that", "you don't have the right to see this",
+        "unhandled rejection in the view", "your description", "click here to edit it", "no description yet", "ha ha ha ha ha ha ha ha ha ha ha ha ha ha", "so so so so 1 2 3 4", "/ '",
+    ],
+)
+def test_what_has_a_verdict_is_mined(text):
+    assert verdict(" ".join(words_of(text))) > 0 and rs.may_classify(text)
+
+
+def test_everything_with_a_verdict_is_mined():
+    rnd, seen = random.Random(3), 0
+    sources = [(p.pattern, 0) for p in (*rs._STRONG, *rs._WEAK)] + [(rs._FILLER.pattern, _parser.SRE_FLAG_VERBOSE)]
+    for source, flags in sources:
+        parsed = _parser.parse(source, flags)
+        for _ in range(600 if flags else 60):
+            text = " ".join(sample(parsed, rnd).lower().replace("<*>", "7").split())
+            seen += verdict(" ".join(words_of(text))) > 0
+            assert rs.may_classify(text) or verdict(" ".join(words_of(text))) == 0, text
+    assert seen > 1000
+    # Also through what a template generalises.
+    tree, pool = Tree(), ["ha", "so", "q", "z", "8", "-", "the", "error", "/", "dolor", "js", "must"]
+    texts = [" ".join(rnd.choice(pool[: rnd.randint(2, 12)]) for _ in range(rnd.randint(1, 12))) for _ in range(6000)]
+    for t in texts:
+        tree.add(words_of(t))
+    for t in texts:
+        assert rs.may_classify(t) or not any(verdict(" ".join(w)) for w in tree.find(words_of(t))), t
+
+
+def test_residue_in_ascii_of_other_languages(spark):
+    df = spark.createDataFrame([(1, "Fehler 404: Seite nicht gefunden"), (2, "Erro 403: acesso negado"), (3, "All is well with the frozen kernel.")], "doc_id bigint, text string")
+    assert {r.doc_id for r in residue(df, "doc_id", "text").collect()} == {1, 2}
