@@ -6,6 +6,8 @@ orders and that broadcast or shuffle by size. Within one pattern no edge is used
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,19 +60,20 @@ def chain_roots(edges: DataFrame, longest: int) -> DataFrame:
     return out.groupBy("root").agg(F.sum("n").alias("paths"))
 
 
-def shortest_path(edges: DataFrame, start, end, most: int = 50) -> int | None:
-    """Edges on a shortest undirected path from start to end; None if there is none within `most`.
+def shortest_path(edges: DataFrame, start, end, most: int | None = None) -> int | None:
+    """Edges on a shortest undirected path from start to end; None if there is none, or with `most` none within that.
 
-    A breadth-first search from both ends; each round reads one frontier and cuts its lineage.
+    A breadth-first search from both ends until they meet or a frontier is empty; each round reads
+    one frontier and cuts its lineage.
     """
     if start == end:
         return 0
-    e = both_ways(edges.select("src", "dst")).distinct()
+    e = cut(both_ways(edges.select("src", "dst")).distinct())
     sides = []
     for v in (start, end):
         first = e.where(F.col("src") == F.lit(v)).select(F.col("src").alias("v")).distinct()
         sides.append([first, first])
-    for length in range(1, most + 1):
+    for length in count(1) if most is None else range(1, most + 1):
         side = sides[length % 2]
         near = e.join(side[1], e.src == F.col("v"), "left_semi").select(F.col("dst").alias("v")).distinct().join(side[0], "v", "left_anti")
         side[1] = cut(near)

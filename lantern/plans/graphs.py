@@ -284,11 +284,14 @@ ends AS (SELECT min(src) AS a, max(src) AS b FROM e), walk AS (SELECT a AS v, 0
 SELECT coalesce(min(n), -1)::INT AS path_length FROM walk WHERE v = (SELECT b FROM ends)""",
 )
 def graph_shortest_path(spark: SparkSession, base: str) -> DataFrame:
-    """Shortest undirected path (G10, J10) between the first and the last linked question; -1 if there is none."""
+    """Shortest undirected path (G10, J10) between the first and the last linked question, however long; -1 if there is none.
+
+    The SQL walks at most 12 edges and says -1 of longer paths.
+    """
     g = Graph(spark, base)
     e = g.links(1).select("src", "dst").unionByName(g.links(3).select("src", "dst"))
     ends = both_ways(e).agg(F.min("src").alias("a"), F.max("src").alias("b")).first()
-    n = shortest_path(e, ends.a, ends.b, 12) if ends.a is not None else None
+    n = shortest_path(e, ends.a, ends.b) if ends.a is not None else None
     return spark.createDataFrame([(-1 if n is None else n,)], "path_length int")
 
 

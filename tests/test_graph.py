@@ -4,6 +4,7 @@ import pytest
 
 from lantern.federation.cypher import CypherError, GraphSource, run
 from lantern.operators.graph import attached, both_ways, chain_roots, communities, pagerank, shortest_path, within_hops
+from lantern.plans import graphs
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +38,17 @@ def test_shortest_path(edges):
     assert shortest_path(edges, 1, 6) is None and shortest_path(edges, 1, 4, most=1) is None
 
 
+def test_shortest_path_has_no_cap(spark):
+    chain = spark.createDataFrame([(n, n + 1) for n in range(53)] + [(100, 101)], "src int, dst int").coalesce(1)
+    assert shortest_path(chain, 0, 53) == 53 and shortest_path(chain, 0, 101) is None
+
+
+def test_shortest_path_query_beyond_twelve(spark, monkeypatch):
+    links = {1: spark.createDataFrame([(n, n + 1) for n in range(1, 10)], "src int, dst int"), 3: spark.createDataFrame([(n, n + 1) for n in range(10, 15)], "src int, dst int")}
+    monkeypatch.setattr(graphs.Graph, "links", lambda self, kind: links[kind])
+    assert graphs.graph_shortest_path(spark, "").first().path_length == 14
+
+
 def test_pagerank_against_plain_python(spark, edges):
     pairs = sorted({tuple(r) for r in edges.collect()})
     score = {v: 0.15 for p in pairs for v in p}
