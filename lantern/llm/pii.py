@@ -22,7 +22,7 @@ from ..session import spread
 
 KINDS = ("email", "id_number", "phone", "street_address", "person_name")
 #: Entries of each half of the name lexicon, most frequent first; the bound on what is broadcast.
-#: Names beyond it are still found by title or introduction.
+#: Names beyond it are looked up by a join.
 LEXICON = 100_000
 
 # Words and characters by which disguises and identifiers are recognised.
@@ -125,6 +125,8 @@ _ADDRESS = [
 ]
 _TOKEN = regex.compile(r"\p{L}[\p{L}'’-]*\.?")
 _NOT_PEOPLE = regex.compile(rf"[\s-]+(?:{NOT_PEOPLE})\b", regex.I)
+_OWN = r"^\s*(\p{Lu}[\p{L}'’-]+)(?:\s+\p{Lu}\.)?\s+(\p{Lu}[\p{L}'’-]+)\s*$"
+_DISPLAYED = regex.compile(_OWN)
 _FULL = rf"(?:{_NAME}|\p{{Lu}}\.)(?:\s+\p{{Lu}}\.)?\s+{_NAME}"
 _TITLED = regex.compile(rf"(?<!\w)(?i:{TITLES})\b\.?\s+(?P<v>(?:(?:\p{{Lu}}\.\s*)+|{_NAME}\s+){_NAME})")
 _INTRODUCED = regex.compile(rf"(?<!\w)(?i:{INTRODUCTIONS})\s+(?P<v>{_FULL}|{_NAME},\s{_NAME})(?!\w)")
@@ -136,7 +138,7 @@ def fold(word: str) -> str:
     return "".join(c for c in word if not unicodedata.combining(c))
 
 
-def _names(text: str, given: set[str], family: set[str]) -> Iterator[tuple[int, int]]:
+def _names(text: str, given: set[str], family: set[str], more: tuple[set[str], set[str]]) -> Iterator[tuple[int, int]]:
     for p in (_TITLED, _INTRODUCED):
         for m in p.finditer(text):
             if not _NOT_PEOPLE.match(text, m.end()):
@@ -146,7 +148,7 @@ def _names(text: str, given: set[str], family: set[str]) -> Iterator[tuple[int,
     for _, _, t in tokens:
         bare = fold(t.rstrip("."))
         initial = len(bare) == 1 and t.endswith(".")
-        kinds.append(("i" if initial else "") + ("g" if bare in given else "") + ("f" if bare in family else ""))
+        kinds.append(("i" if initial else "") + ("g" if bare in given or bare in more[0] else "") + ("f" if bare in family or bare in more[1] else ""))
     for n in range(len(tokens) - 1):
         if not kinds[n]:
             continue
@@ -164,8 +166,11 @@ def _names(text: str, given: set[str], family: set[str]) -> Iterator[tuple[int,
                 yield tokens[n][0], tokens[n + reach][1] - (tokens[n + reach][2].endswith(".") and last != "i")
 
 
-def spans(text: str | None, given: set[str] = frozenset(), family: set[str] = frozenset()) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in the source, in order and without overlap; earlier kinds of KINDS win."""
+def spans(text: str | None, given: set[str] = frozenset(), family: set[str] = frozenset(), more: tuple[set[str], set[str]] = (frozenset(), frozenset())) -> list[tuple[int, int, str]]:
+    """(start, end, kind) in the source, in order and without overlap; earlier kinds of KINDS win.
+
+    more has given and family names that are known for this text besides the lexicon.
+    """
     if not text or text.isspace():
         return []
     flat, start, end = plain(text)
@@ -199,7 +204,7 @@ def spans(text: str | None, given: set[str] = frozenset(), family: set[str] = fr
         for p in _ADDRESS:
             for m in p.finditer(flat):
                 mark(*m.span(), "street_address")
-    for a, b in _names(flat, given, family):
+    for a, b in _names(flat, given, family, more):
         mark(a, b, "person_name")
     return sorted(found)
 
@@ -215,38 +220,76 @@ def redacted(text: str | None, found: list[tuple[int, int, str]]) -> str | None:
     return "".join(out) + text[at:]
 
 
-def name_lexicon(names: DataFrame, column: str, least: int = 2, size: int = LEXICON) -> tuple[set[str], set[str]]:
-    """Given and family names that occur at least `least` times as first and last of two capitalised words.
+def lexicon(names: DataFrame, column: str, key: str | None = None, least: int = 2, size: int = LEXICON) -> tuple[set[str], set[str], DataFrame | None]:
+    """Given and family names that `least` users have as first and last of two capitalised words, and the rest.
 
-    Counted over all rows; at most `size` of each reach the driver.
+    At most `size` of each, the most frequent, reach the driver; the others are the rest, (half,
+    name), None where there are none. Without a key every row is a user of its own.
     """
-    pattern = r"^\s*(\p{Lu}[\p{L}'’-]+)(?:\s+\p{Lu}\.)?\s+(\p{Lu}[\p{L}'’-]+)\s*$"
-    halves = [F.struct(F.lit(half).alias("half"), F.regexp_extract(column, pattern, n).alias("w")) for n, half in ((1, "g"), (2, "f"))]
-    both = names.where(F.col(column).rlike(pattern)).select(F.explode(F.array(*halves)).alias("x"))
-    counted = both.groupBy("x.half", "x.w").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    out = []
+    halves = [F.struct(F.lit(half).alias("half"), F.regexp_extract(column, _OWN, n).alias("w")) for n, half in ((1, "g"), (2, "f"))]
+    both = names.where(F.col(column).rlike(_OWN)).select(*([F.col(key).alias("user")] if key else []), F.explode(F.array(*halves)).alias("x"))
+    counted = (both.distinct() if key else both).groupBy("x.half", "x.w").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    out, whole = [], True
     for half in ("g", "f"):
-        out.append({fold(r.w) for r in counted.where(F.col("half") == half).orderBy(F.desc("n"), "w").limit(size).collect()})
-    return out[0], out[1]
+        rows = counted.where(F.col("half") == half).orderBy(F.desc("n"), "w").limit(size + 1).collect()
+        whole &= len(rows) <= size
+        out.append({fold(r.w) for r in rows[:size]})
+    if whole:
+        return out[0], out[1], None
+    shared = names.sparkSession.sparkContext.broadcast({"g": frozenset(out[0]), "f": frozenset(out[1])})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            rows = [(h, fold(w)) for h, w in zip(d["half"], d["w"])]
+            yield pd.DataFrame([r for r in rows if r[1] not in shared.value[r[0]]], columns=["half", "name"])
+
+    return out[0], out[1], counted.select("half", "w").mapInPandas(run, "half string, name string").distinct()
 
 
-def find_personal(df: DataFrame, key: str, fields: list[str], given: set[str], family: set[str]) -> DataFrame:
+def name_lexicon(names: DataFrame, column: str, least: int = 2, size: int = LEXICON, key: str | None = None) -> tuple[set[str], set[str]]:
+    """The two sets of lexicon, without the rest."""
+    return lexicon(names, column, key, least, size)[:2]
+
+
+def find_personal(df: DataFrame, key: str, fields: list[str], given: set[str], family: set[str], own: str | None = None, rest: DataFrame | None = None) -> DataFrame:
     """(key, field_name, kinds, redacted): each non-null field with the kinds found in it and its redacted text.
 
     kinds is a list without repeats in the order of KINDS, empty where nothing was found. Rows
     without a key are left out, a record delivered twice is read twice, an empty table gives no
-    rows, and columns besides the named ones are ignored. Whole texts are read, row by row, without a shuffle; the lexicon that is broadcast is bounded.
+    rows, and columns besides the named ones are ignored. The name in the column own is known in
+    the texts of its row. Whole texts are read, row by row, without a shuffle; the lexicon that is
+    broadcast is bounded. With a rest of the lexicon (see lexicon), the words of the texts that
+    are not in the broadcast part are joined with it by a shuffle.
     """
     shared = df.sparkSession.sparkContext.broadcast((frozenset(given), frozenset(family)))
     kind = dict(df.dtypes)[key]
-    cells = df.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("text")) for f in fields])).alias("x")).select(key, "x.field_name", "x.text").where(F.col(key).isNotNull() & F.col("text").isNotNull())
+    name = (F.col(own).cast("string") if own else F.lit(None).cast("string")).alias("_own")
+    cells = df.select(F.col(key), name, F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("text")) for f in fields])).alias("x")).select(key, "_own", "x.field_name", "x.text").where(F.col(key).isNotNull() & F.col("text").isNotNull())
+
+    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g, f = shared.value
+        for d in batches:
+            words = [{fold(m[0].rstrip(".")) for m in _TOKEN.finditer(plain(t)[0])} for t in d["text"]]
+            rows = [(k, w) for k, found in zip(d[key], words) for w in found if w not in g or w not in f]
+            yield pd.DataFrame({key: pd.Series([k for k, _ in rows], dtype=d[key].dtype), "name": pd.Series([w for _, w in rows], dtype=object)})
+
+    if rest is not None:
+        met = spread(cells, key).mapInPandas(candidates, f"{key} {kind}, name string").distinct().join(rest, "name")
+        met = met.groupBy(key).agg(F.collect_set(F.when(F.col("half") == "g", F.col("name"))).alias("_g"), F.collect_set(F.when(F.col("half") == "f", F.col("name"))).alias("_f"))
+        cells = cells.join(met, key, "left")
+    else:
+        cells = cells.withColumn("_g", F.lit(None).cast("array<string>")).withColumn("_f", F.lit(None).cast("array<string>"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, f = shared.value
         for d in batches:
             kinds, texts = [], []
-            for t in d["text"]:
-                found = spans(t, g, f)
+            for t, o, more_g, more_f in zip(d["text"], d["_own"], d["_g"], d["_f"]):
+                m = _DISPLAYED.match(o) if isinstance(o, str) else None
+                more = [set(x) if x is not None else set() for x in (more_g, more_f)]
+                for n in (0, 1) if m else ():
+                    more[n].add(fold(m[n + 1]))
+                found = spans(t, g, f, more)
                 has = {x[2] for x in found}
                 kinds.append([k for k in KINDS if k in has])
                 texts.append(redacted(t, found))

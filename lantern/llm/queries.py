@@ -12,7 +12,7 @@ from .canonical import map_to_list
 from .bytepair import VOCABULARY, decode_corpus, encode_corpus
 from .components import connected_components
 from .cooccur import surprising_pairs
-from .pii import find_personal, name_lexicon
+from .pii import find_personal, lexicon
 from .residue import message_templates, residue
 from .tiling import leaks
 from .topn import top_n
@@ -34,9 +34,9 @@ def p3_misses(spark: SparkSession, base: str) -> DataFrame:
 def personal(spark: SparkSession, base: str) -> DataFrame:
     """(user_id, field_name, kinds, redacted) of about_me and location in the latest deliveries."""
     users = table(spark, base, "users")
-    given, family = name_lexicon(users, "display_name")
-    latest = latest_delivery(users, ["id"], ["about_me", "location"]).withColumnRenamed("id", "user_id")
-    return find_personal(latest, "user_id", ["about_me", "location"], given, family)
+    given, family, rest = lexicon(users, "display_name", "id")
+    latest = latest_delivery(users, ["id"], ["about_me", "location", "display_name"]).withColumnRenamed("id", "user_id")
+    return find_personal(latest, "user_id", ["about_me", "location"], given, family, "display_name", rest)
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:

@@ -6,7 +6,7 @@ from re import _parser
 import pytest
 
 from lantern.llm import bytepair as bp
-from lantern.llm.pii import find_personal, name_lexicon, plain, redacted, spans
+from lantern.llm.pii import find_personal, lexicon, name_lexicon, plain, redacted, spans
 from lantern.llm import residue as rs
 from lantern.llm.residue import Tree, has_slot, mask, message_templates, residue, segments, verdict, words_of
 from lantern.llm.tiling import Index, leaks, tiles, words
@@ -62,6 +62,22 @@ def test_lexicon_and_operator(spark):
     assert find_personal(df.limit(0), "user_id", ["about_me"], given, family).count() == 0
 
 
+def test_own_and_rare_names(spark):
+    rows = [(1, "Orvika Blenmark", "x"), (2, "Orvika Blenmark", "Ûlra Quenstal and Senna Thorvest"), (3, "Senna Thorvest", "x"), (4, "Senna Thorvest", None), (5, "Ûlra Quenstal", "I am Ulra Quenstal"), (5, "Ûlra Quenstal", "I am Ulra Quenstal"), (6, None, "by Ûlra Quenstal"), (7, "Orvika Blenmark", "Orvika Blenmark")]
+    df = spark.createDataFrame(rows, "user_id int, display_name string, about_me string")
+    # Repeats of a delivery are one user, whose own name is known in their own row only.
+    given, family, rest = lexicon(df, "display_name", "user_id")
+    assert (given, family, rest) == (GIVEN, FAMILY, None)
+    found = lambda *x: {(r.user_id, r.redacted) for r in find_personal(df, "user_id", ["about_me"], *x).collect() if r.kinds}
+    want = {(2, "Ûlra Quenstal and [PERSON_NAME]"), (5, "I am [PERSON_NAME]"), (7, "[PERSON_NAME]")}
+    assert found(given, family, "display_name", rest) == want
+    # Nothing changes when most of the lexicon is looked up by the join.
+    for size in (0, 1):
+        g, f, rest = lexicon(df, "display_name", "user_id", size=size)
+        assert len(g) == len(f) == size and rest is not None
+        assert found(g, f, "display_name", rest) == want
+
+
 @pytest.fixture(scope="module")
 def merges():
     pytest.importorskip("public_tokenizers")
