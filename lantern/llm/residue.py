@@ -9,6 +9,7 @@ are masked before either, because a record may write about such things.
 
 from __future__ import annotations
 
+import hashlib
 import html
 from collections.abc import Iterator
 from re import _parser
@@ -367,7 +368,8 @@ def residue(df: DataFrame, key: str, text: str, block: int = BLOCK) -> DataFrame
     Null, empty and blank texts and rows without a key are no cases; a record delivered twice is
     reported twice; only the named columns are read; an empty table gives no rows. Whole texts are read twice, once to mine and once to
     propagate; what is shuffled are the templates that hold a classifying word, and what is broadcast
-    are those with a verdict, in blocks of at most `block`, each read by one more pass.
+    are those with a verdict, in blocks of at most `block`, each read by one more pass; of several
+    blocks also the weak messages are shuffled, and a record delivered twice is reported once.
     """
     spark = df.sparkSession
     docs = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null"), "key")
@@ -375,6 +377,8 @@ def residue(df: DataFrame, key: str, text: str, block: int = BLOCK) -> DataFrame
     found = sorted((r.template, r.verdict) for r in judged.toLocalIterator())
     kind = dict(df.dtypes)[key]
 
+    blocks = [found[i : i + block] for i in range(0, len(found), block)] or [[]]
+
     def pass_over(part: list[tuple[str, int]], first: bool) -> DataFrame:
         shared = spark.sparkContext.broadcast(part)
 
@@ -389,19 +393,27 @@ def residue(df: DataFrame, key: str, text: str, block: int = BLOCK) -> DataFrame
                 for k, t in zip(d["key"], d["text"]):
                     masked = mask(t)
                     if first and has_slot(masked):
-                        out.append((k, "slot"))
+                        out.append((k, "slot", 0, None, 0))
                         continue
                     parts = segments(masked)
                     marks = [max((verdicts[" ".join(w)] for w in tree.find(words_of(s))), default=0) for s in parts]
-                    if marks and (max(marks) == 2 or min(marks) == 1):
-                        out.append((k, "message"))
-                yield pd.DataFrame(out, columns=["key", "why"])
-
-        return docs.mapInPandas(run, f"key {kind}, why string")
-
-    out = pass_over(found[:block], True)
-    for i in range(block, len(found), block):
-        out = out.unionByName(pass_over(found[i : i + block], False))
-    if len(found) > block:
-        out = out.groupBy("key").agg(F.max("why").alias("why"))
+                    if len(blocks) == 1 or 2 in marks:
+                        if marks and (max(marks) == 2 or min(marks) == 1):
+                            out.append((k, "message", 0, None, 0))
+                    else:
+                        # Whether every message is weak is known only when all blocks are read.
+                        digest = hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()
+                        out += [(k, None, len(parts), digest, n) for n, m in enumerate(marks) if m]
+                yield pd.DataFrame(out, columns=["key", "why", "parts", "digest", "message"])
+
+        return docs.mapInPandas(run, f"key {kind}, why string, parts int, digest binary, message int")
+
+    out = pass_over(blocks[0], True)
+    if len(blocks) > 1:
+        for part in blocks[1:]:
+            out = out.unionByName(pass_over(part, False))
+        # A key's texts are told apart, so that the messages of one don't stand for another's.
+        weak = out.groupBy("key", "digest").agg(F.max("why").alias("why"), F.max("parts").alias("parts"), F.countDistinct("message").alias("n"))
+        out = weak.withColumn("why", F.when(F.col("why").isNotNull(), F.col("why")).when(F.col("n") == F.col("parts"), "message"))
+        out = out.groupBy("key").agg(F.max("why").alias("why")).where("why is not null")
     return out.select(F.col("key").alias(key), "why")

@@ -264,3 +264,11 @@ def test_everything_with_a_verdict_is_mined():
 def test_residue_in_ascii_of_other_languages(spark):
     df = spark.createDataFrame([(1, "Fehler 404: Seite nicht gefunden"), (2, "Erro 403: acesso negado"), (3, "All is well with the frozen kernel.")], "doc_id bigint, text string")
     assert {r.doc_id for r in residue(df, "doc_id", "text").collect()} == {1, 2}
+
+
+def test_weak_messages_in_several_blocks(spark):
+    rows = [(1, "Bad gateway. Please try again later."), (2, "Bad gateway. All is well with the kernel."), (3, "Please try again later. Oops! Bad gateway. Null."), (4, "Bad gateway. Nothing here works as I hoped."), (4, "All is well. Please try again later."), (5, "Oops! Oops! Oops!"), (6, "Dear {{name}}, hi")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {1: "message", 3: "message", 5: "message", 6: "slot"}
+    for block in (10**6, 2, 1):
+        assert {r.doc_id: r.why for r in residue(df, "doc_id", "text", block).collect()} == want, block
