@@ -1,8 +1,10 @@
 """References to records that do not exist, were removed, or arrived later (problem 1).
 
-Method: references are pre-aggregated per key and period; keys that a large part of all references
-share are split off and looked up through a broadcast of bounded size, the others through a shuffle
-join, and the two results are united. No group of rows ever meets in one task because of its key.
+Method: keys that a large part of all references share are split off and looked up through a
+broadcast of bounded size, the others through a shuffle join, and the two results are united. The
+report joins references pre-aggregated per key and period; the list of the references themselves
+needs the rows, where the pre-aggregation only finds the heavy keys. No group of rows ever meets in
+one task because of its key.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: A key is heavy when more than this share of all references points to it; so there are at most
 #: 1 / HEAVY_SHARE heavy keys, whatever the size of the input.
 HEAVY_SHARE = 1 / 2000
@@ -80,14 +84,14 @@ def target_status(tables: dict[str, DataFrame], deletions: DataFrame, refs: list
 def heavy_keys(tables: dict[str, DataFrame], refs: list[Reference], share: float = HEAVY_SHARE) -> list[tuple[str, int]]:
     """(entity, value) pairs that more than `share` of all references point to: at most 1 / share.
 
-    References are pre-aggregated per key and period where they are read; only the keys that pass
-    the test reach the driver.
+    References are pre-aggregated per key where they are read; only the keys that pass the test
+    reach the driver.
     """
     parts = None
     for r in refs:
-        p = tables[r.table].where(F.col(r.field) > 0).select(F.lit(r.entity).alias("entity"), F.col(r.field).cast("long").alias("value"), F.trunc("creation_date", "month").alias("month"))
+        p = tables[r.table].where(F.col(r.field) > 0).select(F.lit(r.entity).alias("entity"), F.col(r.field).cast("long").alias("value"))
         parts = p if parts is None else parts.unionByName(p)
-    by_key = parts.groupBy("entity", "value", "month").agg(F.count("*").alias("n")).groupBy("entity", "value").agg(F.sum("n").alias("n"))
+    by_key = parts.groupBy("entity", "value").agg(F.count("*").alias("n"))
     total = parts.count()
     rows = by_key.where(F.col("n") > F.lit(max(1.0, total * share))).select("entity", "value").collect()
     return [(r.entity, r.value) for r in rows]
@@ -101,9 +105,13 @@ def orphan_references(tables: dict[str, DataFrame], deletions: DataFrame, refs:
     the referring record had the value). Null stamps never make a reference late. Columns beyond
     the named ones are ignored, exact repeats collapse, empty tables give an empty result.
     """
-    status = target_status(tables, deletions, refs)
     rows = references(tables, refs)
-    heavy = heavy_keys(tables, refs, share)
+    judged = _judged(rows, target_status(tables, deletions, refs), heavy_keys(tables, refs, share))
+    return judged.select("table_name", "field_name", "row_id", "reason", "ref_month")
+
+
+def _judged(rows: DataFrame, status: DataFrame, heavy: list[tuple[str, int]]) -> DataFrame:
+    """rows (entity, value, since, ...) whose reference is broken, with the reason."""
     if heavy:
         keys = rows.sparkSession.createDataFrame(heavy, "entity string, value long")
         few = F.broadcast(status.join(F.broadcast(keys), ["entity", "value"], "left_semi"))
@@ -119,9 +127,20 @@ def orphan_references(tables: dict[str, DataFrame], deletions: DataFrame, refs:
         .when(removed & (~present | (F.col("removed_at") > F.col("latest"))), "deleted")
         .when(F.col("first") > F.col("since"), "late")
     )
-    return joined.select("table_name", "field_name", "row_id", reason.alias("reason"), "ref_month").where("reason is not null")
+    return joined.withColumn("reason", reason).where("reason is not null")
 
 
-def orphan_report(orphans: DataFrame) -> DataFrame:
-    """Broken references counted per table, field, month and reason."""
-    return orphans.groupBy("table_name", "field_name", "ref_month", "reason").agg(F.count("*").alias("n_refs"))
+def orphan_report(tables: dict[str, DataFrame], deletions: DataFrame, refs: list[Reference], share: float = HEAVY_SHARE) -> DataFrame:
+    """(table_name, field_name, ref_month, reason, n_refs): broken references counted, see orphan_references.
+
+    References are counted per key, month and stamp first, so a key that a third of all rows name is
+    a row per month and load; what is joined with the targets are these counts, the heavy keys'
+    through a broadcast and the others' through a shuffle.
+    """
+    counts = references(tables, refs).groupBy("table_name", "field_name", "entity", "value", "ref_month", "since").agg(F.count("*").alias("n"))
+    # Read for the total, the heavy keys and the join.
+    counts = cut(counts)
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    heavy = counts.groupBy("entity", "value").agg(F.sum("n").alias("n")).where(F.col("n") > F.lit(max(1.0, total * share))).select("entity", "value").collect()
+    judged = _judged(counts, target_status(tables, deletions, refs), [(r.entity, r.value) for r in heavy])
+    return judged.groupBy("table_name", "field_name", "ref_month", "reason").agg(F.sum("n").alias("n_refs"))

@@ -5,7 +5,9 @@ list, delimited list under each quote alphabet, all of them also after restoring
 candidate. The length of a candidate is the code of its values: a value in the codebook of the
 corpus costs its code, any other one is spelled, and a delimiter, mark or entity left over inside
 an unprotected value costs far more than a letter because values hardly ever hold one. The codebook
-is counted over all fields; each field is then read with its cheapest dialect.
+is counted over all fields; each field is then read with its cheapest dialect. A reading that would
+lose even if every value of it were free and every value of another were spelled is dropped before,
+so only fields that are open after that are scored against the codebook.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of the codebook, most frequent values first. Values beyond it are spelled out, so the
-#: bound limits what is broadcast and never what is parsed.
+from ..session import cut
+
+#: Entries of the codebook that are broadcast, most frequent values first; those beyond it are
+#: looked up by a shuffle join, so the length of a reading does not depend on the bound.
 CODEBOOK = 65536
 #: Bits of an ordinary character, of the end of a value, and of a structural character in a value.
 CHAR_BITS, END_BITS, STRAY_BITS = 5.0, 4.0, 40.0
@@ -73,13 +77,23 @@ def _blank(t: Column) -> Column:
     return _full(F.transform(F.split(t, r"[\s\u00a0]+"), _tidy))
 
 
+def _spelled(values: Column) -> Column:
+    """Bits of all values spelled."""
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + F.length(x) * CHAR_BITS + END_BITS)
+
+
+def _strays(reading: Column) -> Column:
+    return reading["stray"] * STRAY_BITS
+
+
 def candidate_readings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, readings): the admissible readings of each field that is neither null nor blank, equal ones once.
+    """(key, readings): the readings of each field that is neither null nor blank, equal ones once, hopeless ones not at all.
 
     A reading is (stray, dialect, values). A dialect is admissible where the field has its marks at
     all; blanks separate values only where nothing else does. stray counts the structural characters
-    that the dialect leaves in values without having protected them. The columns are built in steps
-    so that each pattern runs once per field.
+    that the dialect leaves in values without having protected them. A reading is hopeless when its
+    strays alone cost more than another reading with all its values spelled. The columns are built
+    in steps so that each pattern runs once per field.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("t0")).where(F.col("t0").isNotNull() & F.rlike(F.col("t0"), F.lit(r"[^\s\u00a0]")))
@@ -120,16 +134,19 @@ def candidate_readings(df: DataFrame, key: str, text: str) -> DataFrame:
         F.slice("found", 1, 0),
         lambda acc, x: F.when(F.exists(acc, lambda y: y["values"] == x["values"]), acc).otherwise(F.concat(acc, F.array(x))),
     )
-    return rows.select("key", same.alias("readings"))
+    rows = rows.select("key", same.alias("readings"))
+    most = F.array_min(F.transform("readings", lambda r: _strays(r) + _spelled(r["values"])))
+    return rows.withColumn("most", most).select("key", F.filter("readings", lambda r: _strays(r) <= F.col("most")).alias("readings"))
 
 
-def codebook(candidates: DataFrame, size: int = CODEBOOK) -> DataFrame:
-    """(value, bits) of the most frequent values: at most `size` rows.
+def codebook(candidates: DataFrame) -> DataFrame:
+    """(value, bits): the code lengths of all values that the readings confirm.
 
     A field counts its readings in equal parts, so values that only a wrong reading produces stay
     rare while those confirmed by plain fields gain.
     """
-    # The readings without strays explain a field best; they alone vote, in equal parts.
+    # The readings without strays explain a field best; they alone vote, in equal parts. None of
+    # them is ever hopeless.
     clean = F.filter("readings", lambda r: r["stray"] == F.array_min(F.transform("readings", lambda x: x["stray"])))
     votes = (
         candidates.select(F.explode(clean).alias("r"), F.size(clean).alias("k"))
@@ -137,9 +154,18 @@ def codebook(candidates: DataFrame, size: int = CODEBOOK) -> DataFrame:
         .groupBy("value")
         .agg(F.sum("w").alias("w"))
     )
-    top = votes.where("w >= 2").orderBy(F.desc("w"), "value").limit(size)
     total = votes.agg(F.sum("w").alias("total"))
-    return top.join(F.broadcast(total)).select("value", (-F.log2(F.col("w") / F.col("total"))).alias("bits"))
+    return votes.where("w >= 2").join(F.broadcast(total)).select("value", (-F.log2(F.col("w") / F.col("total"))).alias("bits"))
+
+
+def _coded(values: DataFrame, book: DataFrame, size: int) -> DataFrame:
+    """values with the bits of their value, null outside the codebook."""
+    if book.count() <= size:
+        return values.join(F.broadcast(book), "value", "left")
+    # Frequent values stay where they are; only the others, none of them hot, are shuffled.
+    top = F.broadcast(book.orderBy("bits", "value").limit(size))
+    rest = values.join(top, "value", "left_anti").join(book, "value", "left")
+    return values.join(top, "value").unionByName(rest)
 
 
 def split_packed(df: DataFrame, key: str, text: str, size: int = CODEBOOK) -> DataFrame:
@@ -147,20 +173,18 @@ def split_packed(df: DataFrame, key: str, text: str, size: int = CODEBOOK) -> Da
 
     key must be unique in df. Null, empty and blank fields give no rows; empty values are skipped
     and take no position; repeated values keep all their positions; values are lower-cased. Only
-    the two named columns are read. A field of any length is parsed whole, in one pass per dialect.
+    the two named columns are read. A field of any length is parsed whole, in one pass per dialect,
+    and once: the readings are written down for the count of the codebook and the choice.
     """
-    rows = candidate_readings(df, key, text)
-    book = F.broadcast(codebook(rows, size))
-    spelled = F.length("value") * CHAR_BITS + END_BITS
-    bits = F.when(F.col("value").isNull(), 0.0).otherwise(F.least(F.coalesce("bits", spelled), spelled))
-    best = (
-        rows.select("key", F.explode("readings").alias("r"), (F.size("readings") > 1).alias("open"))
-        # A field with one reading has nothing to be scored; it passes as one row.
-        .select("key", "r.stray", "r.dialect", "r.values", F.explode_outer(F.when(F.col("open"), F.col("r.values"))).alias("value"))
-        .join(book, "value", "left")
-        .groupBy("key", "dialect", "stray", "values")
-        .agg(F.sum(bits).alias("bits"))
-        .groupBy("key")
-        .agg(F.min(F.struct(F.round(F.col("bits") + F.col("stray") * STRAY_BITS, 6).alias("cost"), "dialect", "values")).alias("best"))
+    rows = cut(candidate_readings(df, key, text))
+    book = cut(codebook(rows))
+    open_ = rows.where(F.size("readings") > 1)
+    values = _coded(open_.select("key", F.explode(F.array_distinct(F.flatten("readings.values"))).alias("value")), book, size)
+    known = values.where("bits is not null").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("value", "bits"))).alias("known"))
+    cost = lambda r: F.round(
+        F.aggregate(r["values"], _strays(r), lambda a, x: a + F.least(F.coalesce(F.element_at("known", x), F.length(x) * CHAR_BITS + END_BITS), F.length(x) * CHAR_BITS + END_BITS)), 6
     )
-    return best.select(F.col("key").alias(key), F.posexplode("best.values").alias("p", "value")).select(key, (F.col("p") + 1).cast("int").alias("pos"), "value")
+    ranked = F.array_min(F.transform("readings", lambda r: F.struct(cost(r).alias("cost"), r["dialect"].alias("dialect"), r["values"].alias("values"))))
+    chosen = open_.join(known, "key", "left").select("key", ranked["values"].alias("values"))
+    best = rows.where(F.size("readings") == 1).select("key", F.col("readings")[0]["values"].alias("values")).unionByName(chosen)
+    return best.select(F.col("key").alias(key), F.posexplode("values").alias("p", "value")).select(key, (F.col("p") + 1).cast("int").alias("pos"), "value")

@@ -17,15 +17,18 @@ REFERENCES = [
 ]
 
 
+def _tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    return {t: table(spark, base, t) for t in ("posts", "users", "votes")}
+
+
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
     """Broken references of posts and votes, one row per id and field."""
-    tables = {t: table(spark, base, t) for t in ("posts", "users", "votes")}
-    return orphan_references(tables, table(spark, base, "deletions"), REFERENCES)
+    return orphan_references(_tables(spark, base), table(spark, base, "deletions"), REFERENCES)
 
 
 def p1_report(spark: SparkSession, base: str) -> DataFrame:
     """Broken references counted per table, field, month and reason."""
-    return orphan_report(p1_found(spark, base))
+    return orphan_report(_tables(spark, base), table(spark, base, "deletions"), REFERENCES)
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:

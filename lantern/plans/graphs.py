@@ -49,7 +49,7 @@ class Graph:
 
     def tagged(self) -> DataFrame:
         """(src, dst): questions and their tags, parsed once for all queries of a session."""
-        return derived(self.spark, self.base, "tagged", self._tagged)
+        return derived(self.spark, self.base, "tagged", ("posts", "tags"), self._tagged)
 
     def _tagged(self) -> DataFrame:
         posts = self.posts("tags").where("post_type_id = 1")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -59,26 +59,60 @@ def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in storage that outlives an executor.
 
     The folder is the one the session names in spark.checkpoint.dir, which every executor shares.
-    Only where the session names none (local tests) a temporary one is set.
+    Only a local session that names none gets a temporary one; on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lantern-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lantern-"))
     return df.checkpoint(eager=True)
 
 
-_derived: dict[tuple[str, str, str], DataFrame] = {}
+_derived: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 
 
-def derived(spark: SparkSession, base: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table that many queries derive from a data directory alike, built once per session.
+def _state(spark: SparkSession, base: str, tables: tuple[str, ...]) -> str:
+    """Names, lengths and times of the files that tables consist of."""
+    seen = hashlib.sha256()
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{t}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            seen.update(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}\n".encode())
+    return seen.hexdigest()
 
-    Kept where memory allows and on disk otherwise; what an executor loses is computed again.
+
+def derived(spark: SparkSession, base: str, name: str, tables: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that many queries derive from tables of a data directory alike, built once while they stay as they are.
+
+    It is written to the shared checkpoint folder; `release` or a changed file lets it go.
     """
-    key = (spark.sparkContext.applicationId, base, name)
-    if key not in _derived:
-        _derived[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
-    return _derived[key]
+    key, state = (spark.sparkContext.applicationId, base, name), _state(spark, base, tables)
+    if key not in _derived or _derived[key][0] != state:
+        _derived[key] = state, cut(build())
+    return _derived[key][1]
+
+
+def release() -> None:
+    """Forgets every derived table."""
+    _derived.clear()
+
+
+#: Operators of a plan whose rows come out of a shuffle, or of several sources.
+_SHUFFLED = {"Aggregate", "Join", "Window", "Sort", "Repartition", "RepartitionByExpression", "Distinct", "Union", "Deduplicate"}
+
+
+def _operators(plan) -> set[str]:
+    found, todo = set(), [plan]
+    while todo:
+        node = todo.pop()
+        found.add(node.getClass().getSimpleName())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:
@@ -88,11 +122,10 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
     idle. A scan of many splits, the normal case at scale, passes through without a shuffle; what
     comes out of a shuffle is partitioned by key into a fixed number, which is not coalesced again.
     The key should be unique; without one the rows are dealt out in turn.
-    Counting the partitions of such a plan would run it, so its shape is looked at instead.
+    Counting the partitions of such a plan would run it, so its operators are looked at instead.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(x in plan for x in ("Aggregate", "Join", "Window", "Sort", "Repartition", "Distinct", "Union")):
+    if _operators(df._jdf.queryExecution().optimizedPlan()) & _SHUFFLED:
         return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), *key)
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *key)
