@@ -31,9 +31,11 @@ def connected_components(pairs: DataFrame, left: str, right: str, max_rounds: in
 
     Pairs with a null end or equal ends are ignored, direction and repetition do not matter; an
     empty table gives no rows. Any number of vertices may hang on one. Ids must be of one integer
-    type. Each round is written to the shared checkpoint folder, so a lost executor costs at most
-    the tasks of the current round.
+    type. Each round writes its proposals, its minima and its remaining edges to the shared
+    checkpoint folder, and each step down the forest its labels, so a lost executor costs at most
+    the tasks of the current step.
     """
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(pairs.dtypes)[left]
     ends = pairs.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v")).where("u <> v")
     edges = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
@@ -57,7 +59,8 @@ def connected_components(pairs: DataFrame, left: str, right: str, max_rounds: in
         roots = found.select(F.col("v").alias("vertex"), F.col("v").alias("group_id"))
         labels = roots if labels is None else labels.unionByName(roots)
         below = tree.join(labels.withColumnRenamed("vertex", "parent"), "parent").select(F.col("child").alias("vertex"), "group_id")
-        labels = cut(labels.unionByName(below))
+        # A union has the partitions of both sides; those of a small step would add up.
+        labels = cut(labels.unionByName(below).coalesce(parts))
     if labels is None:
         labels = ends.select(F.col("u").alias("vertex"), F.col("v").alias("group_id"))
     return labels.select(F.col("vertex").cast(kind), F.col("group_id").cast(kind))

@@ -21,6 +21,8 @@ from ..session import cut
 #: Baskets of at most this many items are expanded in place; larger ones in cells of two blocks of
 #: about half as many items, so no row ever holds more pairs than the square of this.
 BLOCK = 256
+#: Cells of a matrix that are held at once.
+CELLS = 1 << 21
 #: p-values are ranked in bins of this width in log10, which bounds the ranking by the exponent range.
 BIN = 0.01
 #: Below this log10 p-values share one bin.
@@ -58,19 +60,34 @@ def pair_counts(baskets: DataFrame, basket: str, item: str, min_count: int = 1)
     return small.unionByName(cells).groupBy("item_a", "item_b").agg(F.sum("w").alias("n_ab")).where(F.col("n_ab") >= min_count)
 
 
-def fit_configuration(freq: np.ndarray, freq_many: np.ndarray, size: np.ndarray, size_many: np.ndarray, rounds: int = 2000, tol: float = 1e-10) -> np.ndarray:
-    """Chance p[c, k] that an item of frequency freq[c] is in a basket of size[k], maximum-entropy given both margins."""
+def _chunks(n: int, width: int) -> Iterator[slice]:
+    """Slices of n rows so that a matrix of one and `width` columns has at most CELLS cells, or one row."""
+    step = max(1, CELLS // max(width, 1))
+    return (slice(i, i + step) for i in range(0, n, step))
+
+
+def fit_configuration(freq: np.ndarray, freq_many: np.ndarray, size: np.ndarray, size_many: np.ndarray, rounds: int = 2000, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y) of the maximum-entropy model given both margins, see chances.
+
+    Only the two vectors are kept; the matrix of chances is gone through a part at a time.
+    """
     total = float((size * size_many).sum())
     if not len(freq) or not len(size) or not total:
-        return np.zeros((len(freq), len(size)))
+        return np.zeros(len(freq)), np.zeros(len(size))
     x, y = freq / math.sqrt(total), size / math.sqrt(total)
     for _ in range(rounds):
-        was = x
-        x = freq / np.maximum((size_many * y / (1 + np.outer(x, y))).sum(1), 1e-300)
-        y = size / np.maximum((freq_many[:, None] * x[:, None] / (1 + np.outer(x, y))).sum(0), 1e-300)
-        x, y = np.minimum(x, 1e12), np.minimum(y, 1e12)
+        was, x, below = x, x.copy(), np.zeros(len(y))
+        for s in _chunks(len(x), len(y)):
+            x[s] = np.minimum(freq[s] / np.maximum((size_many * y / (1 + np.outer(x[s], y))).sum(1), 1e-300), 1e12)
+            below += ((freq_many[s] * x[s])[:, None] / (1 + np.outer(x[s], y))).sum(0)
+        y = np.minimum(size / np.maximum(below, 1e-300), 1e12)
         if np.abs(x / was - 1).max() < tol:
             break
+    return x, y
+
+
+def chances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """p[i, k]: the chance that an item of x[i] is in a basket of y[k]."""
     xy = np.outer(x, y)
     return xy / (1 + xy)
 
@@ -133,9 +150,10 @@ def surprising_pairs(baskets: DataFrame, basket: str, item: str, min_count: int
 
     n is the number of baskets with an item; lift is n_ab n / (n_a n_b); expected and log10_p come
     from the fitted model; q_value is the false-discovery rate at which the pair would be accepted,
-    counted over all pairs of the vocabulary. What reaches the driver are two histograms (items by
-    frequency, baskets by size), whose lengths are at most the square root of twice the input, and
-    the bins of the p-values. An empty table gives no rows.
+    ranked among all pairs that occur and counted over all pairs of the vocabulary. What reaches the
+    driver are two histograms (items by frequency, baskets by size), whose lengths are at most the
+    square root of twice the input, and the bins of the p-values; the tasks get the two vectors of
+    the model. An empty table gives no rows.
     """
     spark = baskets.sparkSession
     # Read five times below; what produced the baskets should run once.
@@ -146,28 +164,35 @@ def surprising_pairs(baskets: DataFrame, basket: str, item: str, min_count: int
     size, size_many = np.array([r.size for r in by_size], float), np.array([r.many for r in by_size], float)
     freq, freq_many = np.array([r.n for r in by_freq], float), np.array([r.many for r in by_freq], float)
     n = int(size_many.sum())
-    chances = fit_configuration(freq, freq_many, size, size_many)
+    x, y = fit_configuration(freq, freq_many, size, size_many)
     vocabulary = float(freq_many.sum())
+    shared = spark.sparkContext.broadcast((freq, x, y, size_many))
 
-    pairs = (
-        pair_counts(rows, "basket", "item", min_count)
+    pairs = cut(
+        pair_counts(rows, "basket", "item")
         .join(counts.select(F.col("item").alias("item_a"), F.col("n").alias("n_a")), "item_a")
         .join(counts.select(F.col("item").alias("item_b"), F.col("n").alias("n_b")), "item_b")
         .select("item_a", "item_b", "n_ab", "n_a", "n_b")
     )
 
     def tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        freq, x, y, many = shared.value
         for d in batches:
-            a, b = np.searchsorted(freq, d.n_a), np.searchsorted(freq, d.n_b)
-            p = chances[a] * chances[b]
-            d["expected"] = (p * size_many).sum(1)
-            d["log10_p"] = np.maximum(log10_tail(d.n_ab.to_numpy(), p, size_many), FLOOR)
-            yield d
+            # Pairs of the same three counts have the same tail.
+            kinds, of = np.unique(d[["n_ab", "n_a", "n_b"]].to_numpy(), axis=0, return_inverse=True)
+            mean, tail = np.zeros(len(kinds)), np.zeros(len(kinds))
+            for s in _chunks(len(kinds), len(y)):
+                p = chances(x[np.searchsorted(freq, kinds[s, 1])], y) * chances(x[np.searchsorted(freq, kinds[s, 2])], y)
+                mean[s], tail[s] = (p * many).sum(1), log10_tail(kinds[s, 0], p, many)
+            of = of.reshape(-1)
+            yield d.assign(expected=mean[of], log10_p=np.maximum(tail, FLOOR)[of])
 
     kind = dict(rows.dtypes)["item"]
-    scored = pairs.mapInPandas(tails, f"item_a {kind}, item_b {kind}, n_ab long, n_a long, n_b long, expected double, log10_p double")
-    scored = cut(scored.withColumn("bin", F.floor(F.col("log10_p") / BIN).cast("int")))
-    bins = scored.groupBy("bin").agg(F.count("*").alias("many")).orderBy("bin").collect()
+    in_bin = F.floor(F.col("log10_p") / BIN).cast("int")
+    scored = cut(pairs.where(F.col("n_ab") >= min_count).mapInPandas(tails, f"item_a {kind}, item_b {kind}, n_ab long, n_a long, n_b long, expected double, log10_p double").withColumn("bin", in_bin))
+    rare = pairs.where(F.col("n_ab") < min_count).groupBy("n_ab", "n_a", "n_b").agg(F.count("*").alias("many")).mapInPandas(tails, "n_ab long, n_a long, n_b long, many long, expected double, log10_p double")
+    every = scored.select("bin", F.lit(1).cast("long").alias("many")).unionByName(rare.select(in_bin.alias("bin"), "many"))
+    bins = every.groupBy("bin").agg(F.sum("many").alias("many")).orderBy("bin").collect()
     tests, seen, q = vocabulary * (vocabulary - 1) / 2, 0, []
     for r in bins:
         seen += r.many

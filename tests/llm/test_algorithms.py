@@ -9,7 +9,8 @@ import pytest
 
 from lantern.llm.canonical import Dictionary, best_match, distance, map_to_list
 from lantern.llm.components import connected_components
-from lantern.llm.cooccur import fit_configuration, log10_tail, pair_counts, surprising_pairs
+from lantern.llm import cooccur
+from lantern.llm.cooccur import chances, fit_configuration, log10_tail, pair_counts, surprising_pairs
 from lantern.llm.topn import top_n
 
 
@@ -75,7 +76,7 @@ def test_configuration_keeps_both_margins():
     size = np.array([1.0, 2.0, 4.0])
     sm = np.array([10.0, 10.0, 5.0])
     freq = freq * (size * sm).sum() / (freq * fm).sum()
-    p = fit_configuration(freq, fm, size, sm)
+    p = chances(*fit_configuration(freq, fm, size, sm))
     assert np.allclose((p * sm).sum(1), freq, rtol=1e-6)
     assert np.allclose((p * fm[:, None]).sum(0), size, rtol=1e-6)
 
@@ -94,6 +95,42 @@ def test_tail_against_exact_sum():
                 assert abs(got - exact) < 0.03 + 0.02 * abs(exact), (p, n, got, exact)
 
 
+def test_tail_against_exact_sum_on_random_margins(monkeypatch):
+    rnd = np.random.default_rng(8)
+    for _ in range(30):
+        size, sm = np.sort(rnd.choice(np.arange(1, 9), 4, replace=False)).astype(float), rnd.integers(3, 40, 4).astype(float)
+        freq = np.sort(rnd.choice(np.arange(1, 30), 6, replace=False)).astype(float)
+        fm = np.maximum(np.round((size * sm).sum() / freq.sum() * np.ones(6)), 1)
+        freq = freq * (size * sm).sum() / (freq * fm).sum()
+        whole = fit_configuration(freq, fm, size, sm, 300)
+        with monkeypatch.context() as m:
+            m.setattr(cooccur, "CELLS", 5)
+            parts = fit_configuration(freq, fm, size, sm, 300)
+        assert np.allclose(whole[0], parts[0]) and np.allclose(whole[1], parts[1])
+        p = (chances(whole[0][-2:-1], whole[1]) * chances(whole[0][-1:], whole[1]))[0]
+        pmf = np.array([1.0])
+        for k, n in zip(p, sm):
+            for _ in range(int(n)):
+                pmf = np.convolve(pmf, [1 - k, k])
+        for n in range(1, int(sm.sum()), 3):
+            exact = math.log10(max(pmf[n:].sum(), 1e-300))
+            if exact > -12:
+                assert abs(log10_tail(np.array([n]), p[None, :], sm)[0] - exact) < 0.05, (n, exact)
+
+
+def test_ranks_count_pairs_below_the_least_count(spark):
+    rows = [(b, i) for b in range(200) for i in (f"a{b % 7}", f"b{b % 11}")] + [(300 + b, i) for b in range(5) for i in ("x", "y")] + [(400 + 2 * k + b, i) for k in range(20) for b in (0, 1) for i in (f"r{k}", f"s{k}")]
+    df = spark.createDataFrame(rows, "basket int, item string")
+    every = surprising_pairs(df, "basket", "item", 1).collect()
+    tests = len({i for _, i in rows})
+    tests = tests * (tests - 1) / 2
+    tails = sorted(r.log10_p for r in every)
+    for r in surprising_pairs(df, "basket", "item", 4).collect():
+        exact = min(10**t * tests / (k + 1) for k, t in enumerate(tails) if t >= r.log10_p - 1e-9 and (k + 1 == len(tails) or tails[k + 1] > t))
+        assert exact <= r.q_value * 1.0001 and r.q_value <= max(1.05 * exact, 1e-12) or r.q_value == 1.0 <= exact * 1.05
+    assert {(r.item_a, r.item_b): r.q_value for r in every if r.n_ab >= 4} == {(r.item_a, r.item_b): r.q_value for r in surprising_pairs(df, "basket", "item", 4).collect()}
+
+
 def test_planted_pair_is_the_surprising_one(spark):
     rnd = random.Random(2)
     rows = []
