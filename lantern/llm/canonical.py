@@ -23,6 +23,8 @@ from .pii import fold, plain
 
 #: Entries of the list in one dictionary; a longer list is searched in so many blocks more.
 BLOCK = 100_000
+#: Stretches of fewer letters are no misspelling of anything.
+SHORT = 4
 #: Answers remembered by each worker.
 MEMORY = 1 << 16
 _MAIL = re.compile(r"\S+\s?(?:@|\(at\)|\[at\]|\sAT\s)\s?\S+(?:\s?(?:\[dot\]|\(dot\)|\sDOT\s)\s?\S+)*")
@@ -79,6 +81,8 @@ class Dictionary:
     #: entry id -> (folded region or '', folded country)
     entries: dict[int, tuple[str, str]] = field(default_factory=dict)
     names: dict[str, list[int]] = field(default_factory=dict)
+    #: names of fewer than SHORT letters, found only as they are
+    short: dict[str, list[int]] = field(default_factory=dict)
     filed: dict[str, list[str]] = field(default_factory=dict)
     countries: dict[str, str] = field(default_factory=dict)
     words: int = 1
@@ -96,6 +100,8 @@ class Dictionary:
             full = spaced(name)
             if not full:
                 continue
+            if len(full) < SHORT:
+                d.short.setdefault(full, []).append(key)
             head, _, rest = full.partition(" ")
             forms = {full}
             if rest:
@@ -109,10 +115,18 @@ class Dictionary:
                 d.filed.setdefault(key, []).append(form)
         return d
 
-    def lookup(self, stretch: str) -> list[tuple[str, float]]:
-        """(name, weight) of every name within the edits allowed for the stretch."""
-        if stretch in self.names:
-            return [(stretch, 0.0)]
+    def lookup(self, stretch: str, where: set[str], exact: bool = False) -> list[tuple[str, float]]:
+        """(name, weight) of every name within the edits allowed for the stretch.
+
+        A name that is the stretch itself leaves no room for others if one of its entries is in a
+        country of where. Whether that is so never depends on the other entries of the dictionary:
+        what is left out here would lose against that entry anyway.
+        """
+        if len(stretch) < SHORT:
+            return [(stretch, 0.0)] if stretch in self.short else []
+        same = stretch in self.names
+        if exact or (same and (not where or any(self.entries[k][1] in where for k in self.names[stretch]))):
+            return [(stretch, 0.0)] if same else []
         most, seen, out = allowed(len(stretch)), set(), []
         if not most:
             return out
@@ -131,16 +145,17 @@ def spaced(text: str | None) -> str:
     return " ".join(_TOKEN.findall(fold(text))) if text else ""
 
 
-def best_match(d: Dictionary, text: str | None, freq: dict[int, int], exact: bool = False) -> tuple[float, int, bool]:
-    """(cost, id, sure) of the entry a text means; id 0 where it means none.
+def best_match(d: Dictionary, text: str | None, freq: dict[int, int], exact: bool = False) -> tuple[float, int, int, int, int]:
+    """(cost, -length, -frequency, id, ties) of the entry a text means, by which matches of several dictionaries are compared; id 0 where it means none.
 
-    A country named in the text excludes entries of other countries. sure says that nothing but
-    distance was needed. With exact, only unchanged names are looked for.
+    A country named in the text excludes entries of other countries. ties are the entries that fit
+    as well but for their frequency, itself included. With exact, only unchanged names are looked for.
     """
+    none = (9.0, 0, 0, 0, 0)
     flat = _MAIL.sub(" ", plain(text)[0])
     tokens = [fold(t) for t in _TOKEN.findall(flat)]
     if not tokens:
-        return 9.0, 0, False
+        return none
     where: set[str] = set()
     used: set[int] = set()
     for n in range(min(4, len(tokens)), 0, -1):
@@ -155,33 +170,35 @@ def best_match(d: Dictionary, text: str | None, freq: dict[int, int], exact: boo
     for n in range(1, d.words + 1):
         for i in range(len(tokens) - n + 1):
             stretch = " ".join(tokens[i : i + n])
-            if used.intersection(range(i, i + n)) or len(stretch) < 4 or stretch.isdigit():
+            if used.intersection(range(i, i + n)) or stretch.isdigit():
                 continue
-            for name, weight in d.lookup(stretch) if not exact else [(stretch, 0.0)] if stretch in d.names else []:
-                for key in d.names[name]:
+            for name, weight in d.lookup(stretch, where, exact):
+                for key in (d.short if len(stretch) < SHORT else d.names)[name]:
                     region, country = d.entries[key]
                     if where and country not in where:
                         continue
                     hint = 0.6 * bool(where) + 0.3 * bool(region and f" {region} " in whole)
-                    found.append((weight - hint, -len(stretch), -freq.get(key, 0), key))
+                    found.append((round(weight - hint, 6), -len(stretch), -freq.get(key, 0), key))
     if not found:
-        return 9.0, 0, False
+        return none
     found.sort()
-    ties = {k for c, size, _, k in found if (c, size) == found[0][:2]}
-    return found[0][0], found[0][3], len(ties) == 1
+    return *found[0], len({k for c, size, _, k in found if (c, size) == found[0][:2]})
 
 
 def map_to_list(df: DataFrame, key: str, text: str, places: DataFrame, block: int = BLOCK) -> DataFrame:
     """(key, place_id): the entry of places meant by each text that is neither null nor blank, 0 for none.
 
     places has place_id, city, region, country and country_code; region and code may be null. It
-    is the reference list, not data: it is broadcast in blocks of at most `block` entries, and the
-    texts are read once per block and once more, exactly, to count how often each entry is meant.
-    Row by row and without a shuffle; a frequent text is answered from a bounded memory. Rows
-    without a key are left out and repeated rows answered each; only the named columns are read. An
-    empty list leaves every text unmatched, an empty table gives no rows; entries without id or
-    city are no entries. Among entries that fit a text alike the more frequent one is meant, then
-    the one with the smaller id.
+    is the reference list, not data: it is collected and broadcast in blocks of at most about
+    `block` entries, and the texts are read once per block and once more, exactly, to count how
+    often each entry is meant. Row by row and without a shuffle as long as there is one block, so a
+    text that a third of all rows have meets in no task; a frequent text is answered from a bounded
+    memory. The best matches of several blocks are compared as those of one, so the answer does not
+    depend on the blocks; key must be unique then. Rows without a key are left out and repeated
+    rows answered each; only the named columns are read. An empty list leaves every text unmatched,
+    an empty table gives no rows; entries without id or city are no entries. Names of fewer than
+    four letters are found only as they are. Among entries that fit a text alike the more frequent
+    one is meant, then the one with the smaller id.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -206,17 +223,25 @@ def map_to_list(df: DataFrame, key: str, text: str, places: DataFrame, block: in
                         hit = known[t] = best_match(d, t, counted, exact)
                         if len(known) > MEMORY:
                             known.popitem(last=False)
+                    else:
+                        known.move_to_end(t)
                     out.append(hit)
-                yield pd.DataFrame({"key": b["key"], "cost": [o[0] for o in out], "place_id": [o[1] for o in out], "sure": [o[2] for o in out]})
-
-        return rows.mapInPandas(run, f"key {kind}, cost double, place_id int, sure boolean")
-
-    parts = [places if blocks == 1 else places.where(F.pmod(F.xxhash64("city"), F.lit(blocks)) == n) for n in range(blocks)]
-    answers = None
-    for part in parts:
-        meant = pass_over(part, {}, True).where("sure and place_id > 0").groupBy("place_id").agg(F.count("*").alias("n")).collect()
-        one = pass_over(part, {r.place_id: r.n for r in meant}, False)
-        answers = one if answers is None else answers.unionByName(one)
-    if blocks > 1:
-        answers = answers.groupBy("key").agg(F.min(F.struct("cost", "place_id")).alias("x")).select("key", "x.place_id")
+                yield pd.DataFrame([(k, *o) for k, o in zip(b["key"], out)], columns=["key", "cost", "size", "freq", "place_id", "ties"]).astype({"key": b["key"].dtype})
+
+        return rows.mapInPandas(run, f"key {kind}, cost double, size int, freq long, place_id int, ties int")
+
+    parts = [places if blocks == 1 else places.where(F.pmod(F.xxhash64("place_id"), F.lit(blocks)) == n) for n in range(blocks)]
+
+    def over_all(freq: dict[int, int], exact: bool) -> DataFrame:
+        answers = pass_over(parts[0], freq, exact)
+        if blocks == 1:
+            return answers
+        for part in parts[1:]:
+            answers = answers.unionByName(pass_over(part, freq, exact))
+        fit = answers.groupBy("key", "cost", "size").agg(F.min(F.struct("freq", "place_id")).alias("x"), F.sum("ties").cast("int").alias("ties"))
+        best = fit.groupBy("key").agg(F.min(F.struct("cost", "size", "x", "ties")).alias("b"))
+        return best.select("key", F.col("b.x.place_id").alias("place_id"), F.col("b.ties").alias("ties"))
+
+    meant = over_all({}, True).where("ties = 1").groupBy("place_id").agg(F.count("*").alias("n")).collect()
+    answers = over_all({r.place_id: r.n for r in meant}, False)
     return answers.select(F.col("key").alias(key), F.col("place_id").cast("int").alias("place_id"))

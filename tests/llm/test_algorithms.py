@@ -182,12 +182,12 @@ def dictionary():
     ],
 )
 def test_places_meant(dictionary, text, want):
-    assert best_match(dictionary, text, {2: 5, 3: 1})[1] == want
+    assert best_match(dictionary, text, {2: 5, 3: 1})[3] == want
 
 
 def test_namesakes_without_country_by_frequency(dictionary):
-    assert best_match(dictionary, "Kalmirost", {2: 5, 3: 1})[1] == 2
-    assert best_match(dictionary, "Kalmirost", {2: 1, 3: 5})[1] == 3
+    assert best_match(dictionary, "Kalmirost", {2: 5, 3: 1})[3] == 2
+    assert best_match(dictionary, "Kalmirost", {2: 1, 3: 5})[3] == 3
 
 
 def test_mapping_in_one_block_and_in_many(spark):
@@ -200,3 +200,23 @@ def test_mapping_in_one_block_and_in_many(spark):
         assert got == want
     assert map_to_list(df.limit(0), "user_id", "location", places).count() == 0
     assert {r.place_id for r in map_to_list(df, "user_id", "location", places.limit(0)).collect()} == {0}
+
+
+STRADDLING = [
+    (2, "Springfield", None, "Norland", "NO"), (3, "New Springfield", None, "Norland", "NO"), (5, "Brontik", None, "Norland", "NO"), (9, "Brontik", None, "Sudland", "SU"), (11, "Ulm", None, "Sudland", "SU"), (12, "Pau", "Esk", "Norland", "NO"),
+    (13, "Velmarik", None, "Norland", "NO"), (14, "Velmarid", "Esk", "Sudland", "SU"), (15, "Oslo", None, "Norland", "NO"), (16, "Oslov", None, "Sudland", "SU"), (17, "Io", None, "Sudland", "SU"),
+]
+ENTERED = [
+    "New Springfield", "new springfeild", "Springfield, New Norland", "Brontik", "brontik!", "Brontik, Sudland", "Brontik (SU)", "Brontik, Sudland", "Ulm, Sudland", "ULM", "Ulma", "Pau", "Pau, Norland", "pau, Sudland", "Io", "velmariq", "Velmarid, Esk", "Velmarik, Sudland",
+    "Oslo, Sudland", "oslo", "oslov, norland", "Brontic", "between Springfield and Ulm", "Esk", "nothing", "Norland",
+]
+
+
+@pytest.mark.parametrize("block", [1, 2, 7])
+def test_mapping_does_not_depend_on_the_blocks(spark, block):
+    places = spark.createDataFrame(STRADDLING, "place_id int, city string, region string, country string, country_code string")
+    df = spark.createDataFrame(list(enumerate(ENTERED)), "user_id int, location string")
+    whole = {r.user_id: r.place_id for r in map_to_list(df, "user_id", "location", places).collect()}
+    assert {r.user_id: r.place_id for r in map_to_list(df, "user_id", "location", places, block).collect()} == whole
+    said = dict(zip(ENTERED, (whole[n] for n in range(len(ENTERED)))))
+    assert (said["New Springfield"], said["Brontik"], said["Ulm, Sudland"], said["ULM"], said["Ulma"], said["Pau"], said["pau, Sudland"], said["Io"], said["nothing"]) == (3, 9, 11, 11, 0, 12, 0, 17, 0)
