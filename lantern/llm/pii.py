@@ -1,14 +1,15 @@
 """Personal information inside free text (problem 5).
 
-Method: offset-preserving deobfuscation. A transducer rewrites a text into a plain form (entities,
-markup, homoglyphs, compatibility and zero-width characters, spelled digits, at/dot disguises) and
-remembers for every character which source characters it came from. Identifiers are detected in the
+Method: offset-preserving deobfuscation. A transducer rewrites a text into a plain form in passes
+(entities, markup, homoglyphs, compatibility and zero-width characters; spelled digits, also doubled
+and tripled; at/dot disguises) and remembers for every character which source characters it came from. Identifiers are detected in the
 plain form, and their spans are mapped back, so the placeholders stand in the source and the rest of
 it is untouched. Names need a lexicon; it is counted from the names people give themselves.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import unicodedata
 from collections.abc import Iterator
@@ -29,6 +30,7 @@ LEXICON = 100_000
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһӏАВЕКМНОРСТХІοαΟΑΒΕΖΗΙΚΜΝΡΤΥΧ", "aeopcyxijsdhlABEKMHOPCTXIoaOABEZHIKMNPTYX"))
 STREETS = "street|str|st|row|lane|ln|close|court|ct|hill|road|rd|avenue|ave|boulevard|blvd|terrace|drive|place|square|crescent|gardens|mews|grove|parkway|highway|alley|walk"
+MORE_STREETS = "Parade|Quay|Wharf|Circus|Rise|Vale|Heights|Embankment|Esplanade|Promenade|Causeway|Trail|Way|Green|Gate|Park|Wynd|Croft|Villas|Turnpike"
 STREET_ENDS = "straße|strasse|str\\.|gasse|weg|platz|allee|ufer|damm|ring"
 STREET_HEADS = "calle|via|viale|rua|rue|avenida|av\\.|plaza|piazza|corso|ulica|ul\\.|carrer|paseo|chemin|impasse|travessa"
 ID_LABELS = (
@@ -40,62 +42,134 @@ TITLES = r"dr|prof|mr|mrs|ms|mx|herr|frau|señora?|sr|sra|mme|monsieur"
 INTRODUCTIONS = r"my name is|name's|ich heiße|ich heisse|je m'appelle|me llamo|mi nombre es|mi chiamo|meu nome é|regards,|signed,|c/o"
 NOT_PEOPLE = "theorem|test|lemma|method|distribution|transform|algorithm|index|law|inequality|systems|ltd|inc|llc|gmbh|corp|labs|analytics|software|institute|award|prize|university|street|lane|road"
 
-_ZERO = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
-_WORDS = "|".join(DIGIT_WORDS)
-_REWRITE = regex.compile(
-    rf"(?P<tag><[^<>]+>)|(?P<entity>&(?:#\d+|#x[0-9a-f]+|[a-z]+\d?);)|(?P<digits>\b(?:{_WORDS})(?:[\s,-]+(?:{_WORDS})){{3,}}\b)|(?P<zero>[{_ZERO}])|(?P<other>[^\x00-\x7f])",
-    regex.I,
-)
-_NEEDS = regex.compile(rf"[<&]|[^\x00-\x7f]|\b(?:{_WORDS})[\s,-]+(?:{_WORDS})\b", regex.I)
+_ZERO = "­​‌‍‎‏⁠﻿"
+_DIGIT = "|".join(DIGIT_WORDS)
+_CHARS = regex.compile(rf"(?P<tag><(?!\s*(?:at|dot|@|\.)\s*>)[^<>]+>)|(?P<entity>&(?:#\d+|#x[0-9a-f]+|[a-z]+\d?);)|(?P<zero>[{_ZERO}])|(?P<other>[^\x00-\x7f])", regex.I)
+_NEEDS_CHARS = regex.compile(r"[<&]|[^\x00-\x7f]")
 _KEPT = regex.compile(r"(?:mailto|tel):[^\"'>\s?]+", regex.I)
-
-
-def plain(text: str) -> tuple[str, list[int] | None, list[int] | None]:
-    """The plain form, and for each of its characters the start and end of its source; None where nothing changed."""
-    if not _NEEDS.search(text):
-        return text, None, None
-    out: list[str] = []
-    start: list[int] = []
-    end: list[int] = []
-
-    def put(s: str, a: int, b: int, spans: bool = False) -> None:
-        for i, ch in enumerate(s):
-            out.append(ch)
-            start.append(a + i if not spans else a)
-            end.append(a + i + 1 if not spans else b)
-
-    at = 0
-    for m in _REWRITE.finditer(text):
-        put(text[at : m.start()], at, m.start())
+# A spelled digit, also doubled or tripled, or figures between spelled ones.
+_ITEM = rf"(?:(?:(?P<times>double|triple)[\s-]+)?(?P<word>{_DIGIT})\b|(?P<figures>\d{{1,4}})\b)"
+_SPELLED = regex.compile(rf"\b(?:(?:(?:double|triple)[\s-]+)?(?:{_DIGIT})|\d{{1,4}})(?:[\s,.-]{{1,3}}(?:(?:(?:double|triple)[\s-]+)?(?:{_DIGIT})|\d{{1,4}}))+\b", regex.I)
+_ITEMS = regex.compile(_ITEM, regex.I)
+_NEEDS_SPELLED = regex.compile(rf"\b(?:{_DIGIT})\W{{1,3}}(?:{_DIGIT}|\d+|double|triple)\b", regex.I)
+_BRACKETED = r"\s*[\(\[\{{<]\s*(?:{0})\s*[\)\]\}}>]\s*"
+_AT = r"(?:\s?@\s?|" + _BRACKETED.format("at|@") + r"|\s+at\s+)"
+_DOT = r"(?:\.|" + _BRACKETED.format(r"dot|\.") + r"|\s+dot\s+)"
+# Words that no mailbox's host begins with.
+_NO_HOST = r"(?!(?:the|an?|this|that|my|our|your|his|her|their|dot)\b)"
+_PART = r"[\p{L}\d](?:[\p{L}\d_+%'-]{0,62}[\p{L}\d])?"
+# Words before "at" that name no mailbox.
+_AT_PLACE = r"works?|working|worked|looks?|looking|lives?|living|hosted|employed|stud(?:y|ying|ied)|based"
+#: A mail address whose at or dots may be spelled, of at most ten parts on either side; it ends where no further at follows.
+_CHAIN = regex.compile(rf"(?<![\w@.])(?P<local>{_PART}(?:{_DOT}{_PART}){{0,8}}+)(?P<at>{_AT}){_NO_HOST}{_PART}(?:{_DOT}{_PART}){{0,8}}{_DOT}\p{{L}}{{2,}}(?![\w@])(?!{_BRACKETED.format('at|@')}|\s+at\s+{_PART}(?:\.|\s+dot\s))", regex.I)
+_NEEDS_CHAIN = regex.compile(r"\sdot\s|[\(\[\{<]\s*(?:dot|\.|at|@)\s*[\)\]\}>]|(?<=\w\s)(?-i:AT)(?=\s\w)", regex.I)
+_SEPARATOR = regex.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", regex.I)
+_DISGUISED = regex.compile(rf"{_BRACKETED.format(r'at|@|dot|\.')}|\s+dot\s+", regex.I)
+
+
+class _Tape:
+    """What a pass of the transducer writes: characters, each with the start and end of its source."""
+
+    def __init__(self, text: str, start: list[int] | None, end: list[int] | None):
+        self.text, self.from_start, self.from_end = text, start, end
+        self.out: list[str] = []
+        self.start: list[int] = []
+        self.end: list[int] = []
+
+    def keep(self, a: int, b: int) -> None:
+        """The characters from a to b as they are."""
+        self.out.append(self.text[a:b])
+        self.start += self.from_start[a:b] if self.from_start else range(a, b)
+        self.end += self.from_end[a:b] if self.from_end else range(a + 1, b + 1)
+
+    def put(self, s: str, a: int, b: int) -> None:
+        """s in place of what stands from a to b."""
+        self.out.append(s)
+        self.start += [self.from_start[a] if self.from_start else a] * len(s)
+        self.end += [self.from_end[b - 1] if self.from_end else b] * len(s)
+
+    def read(self) -> tuple[str, list[int], list[int]]:
+        return "".join(self.out), self.start, self.end
+
+
+def _characters(text: str) -> tuple[str, list[int], list[int]]:
+    """First pass: markup, entities, zero-width and compatibility characters, homoglyphs."""
+    tape, at = _Tape(text, None, None), 0
+    for m in _CHARS.finditer(text):
+        tape.keep(at, m.start())
         a, at = m.span()
         kind, s = m.lastgroup, m[0]
         if kind == "tag":
             # A tag separates, but an address inside it is kept where it stands.
             kept = _KEPT.search(s)
-            put("\n", a, a + 1, True)
+            tape.put("\n", a, a + 1)
             if kept:
-                put(kept[0], a + kept.start(), a + kept.end())
-                put("\n", at - 1, at, True)
+                tape.keep(a + kept.start(), a + kept.end())
+                tape.put("\n", at - 1, at)
         elif kind == "entity":
-            put(html.unescape(s).replace("\xa0", " "), a, at, True)
-        elif kind == "digits":
-            # One digit a word: the source of each is its word.
-            for w in regex.finditer(r"[A-Za-z]+", s):
-                put(DIGIT_WORDS[w[0].lower()], a + w.start(), a + w.end(), True)
+            tape.put(html.unescape(s).replace("\xa0", " "), a, at)
         elif kind == "other":
             latin = s in HOMOGLYPHS and ((a and text[a - 1].isascii() and text[a - 1].isalpha()) or (at < len(text) and text[at].isascii() and text[at].isalpha()))
-            put(HOMOGLYPHS[s] if latin else s if s.isalpha() and unicodedata.name(s, "").startswith("LATIN SMALL LETTER SHARP") else unicodedata.normalize("NFKC", s), a, at, True)
-    put(text[at:], at, len(text))
-    return "".join(out), start, end
+            tape.put(HOMOGLYPHS[s] if latin else s if s.isalpha() and unicodedata.name(s, "").startswith("LATIN SMALL LETTER SHARP") else unicodedata.normalize("NFKC", s), a, at)
+    tape.keep(at, len(text))
+    return tape.read()
+
+
+def _spelled(tape: _Tape, m: regex.Match) -> bool:
+    """Writes a run of spelled digits as digits, each from its word; runs of fewer than four or mostly of figures stay."""
+    items = list(_ITEMS.finditer(m[0]))
+    words = sum(i["word"] is not None for i in items)
+    if words < 3 or len(items) < 4:
+        return False
+    for i in items:
+        a, b = m.start() + i.start(), m.start() + i.end()
+        if i["word"]:
+            tape.put(DIGIT_WORDS[i["word"].lower()] * {"double": 2, "triple": 3}.get((i["times"] or "").lower(), 1), a, b)
+        else:
+            tape.keep(a, b)
+    return True
+
+
+def _address(tape: _Tape, m: regex.Match) -> bool:
+    """Writes a disguised mail address with its at and dots; what merely has "at" between words stays."""
+    bare = m["at"].isspace() is False and m["at"].strip().lower() == "at"
+    if not _DISGUISED.search(m[0]) and not (bare and m["at"].strip() == "AT" and not m["local"].isupper()):
+        return False
+    if bare and regex.fullmatch(_AT_PLACE, m["local"], regex.I):
+        return False
+    at = m.start()
+    for x in _SEPARATOR.finditer(tape.text, m.start(), m.end()):
+        tape.keep(at, x.start())
+        tape.put("@" if x["at"] else ".", x.start(), x.end())
+        at = x.end()
+    tape.keep(at, m.end())
+    return True
+
+
+def plain(text: str) -> tuple[str, list[int] | None, list[int] | None]:
+    """The plain form, and for each of its characters the start and end of its source; None where nothing changed.
+
+    Characters are rewritten first, then spelled digits, then the disguises of at and dot, each pass
+    on what the one before it wrote.
+    """
+    out: tuple[str, list[int] | None, list[int] | None] = (text, None, None)
+    if _NEEDS_CHARS.search(text):
+        out = _characters(text)
+    for needs, pattern, write in ((_NEEDS_SPELLED, _SPELLED, _spelled), (_NEEDS_CHAIN, _CHAIN, _address)):
+        if needs.search(out[0]):
+            tape, at = _Tape(*out), 0
+            for m in pattern.finditer(out[0]):
+                tape.keep(at, m.start())
+                at = m.end()
+                if not write(tape, m):
+                    tape.keep(m.start(), at)
+            tape.keep(at, len(out[0]))
+            out = tape.read()
+    return out
 
 
-_AT = r"(?:\s?@\s?|\s*[\(\[\{<]\s*(?:at|@)\s*[\)\]\}>]\s*)"
-_DOT = r"(?:\.|\s*[\(\[\{]\s*(?:dot|\.)\s*[\)\]\}]\s*)"
 _LOCAL, _LABEL = r"(?<![\w.+%'-])[\w](?:[\w.+%'-]{0,62}[\w])?", r"[\p{L}\d](?:[\p{L}\d-]{0,62}[\p{L}\d])?"
-_EMAIL = [
-    regex.compile(rf"(?:mailto:)?{_LOCAL}{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}\p{{L}}{{2,}}(?![\w])", regex.I),
-    regex.compile(rf"{_LOCAL}\s+at\s+{_LABEL}(?:\s+dot\s+{_LABEL})*\s+dot\s+\p{{L}}{{2,}}(?![\w])", regex.I),
-]
+_EMAIL = regex.compile(rf"(?:mailto:)?{_LOCAL}\s?@\s?{_LABEL}(?:\.{_LABEL})*\.\p{{L}}{{2,}}(?![\w])", regex.I)
 _ID = [
     regex.compile(rf"(?<!\w)(?:{ID_LABELS})\b[\s:#.]*(?:(?:no|nr|number|num|nummer|is|n[°ºo])\b[\s:#.]*){{0,2}}(?P<v>(?=(?:[\p{{L}}0-9./ -]{{0,12}}\d){{4}})[\p{{L}}0-9]+(?:[./ -]?(?=[A-Z]?\d|[A-Z]\b)[A-Z0-9]+)*)", regex.I),
     regex.compile(r"(?<![\w.-])(?P<v>\d{3}-\d{2}-\d{4})(?![\w-])"),
@@ -113,9 +187,14 @@ _PHONE = [
     regex.compile(rf"{_BEFORE}0(?:\d{{4}}[ -]\d{{6}}|\d{{3}}[ -]\d{{3}}[ -]\d{{4}}|\d{{2}}[ -]\d{{4}}[ -]\d{{4}}|(?: \d{{2,3}}){{4}}){_AFTER}"),
     regex.compile(rf"(?<!\w)(?:{PHONE_LABELS})[.:,]?\s*(?:no\.?|number|is|at|on|:)?\s*(?P<v>\(?\d(?:[\s().-]?\d){{6,14}}){_AFTER}", regex.I),
 ]
+_ANY_DIGIT, _RUN = regex.compile(r"\d"), regex.compile(r"(?<!\d)\d{7,15}(?!\d)")
 _LOCAL_PHONE = regex.compile(rf"{_BEFORE}\d{{3}}-\d{{4}}{_AFTER}")
 _COUNTED = regex.compile(r"(?<!\w)(?:ticket|order|build|version|row|issue|invoice|page|isbn|bug|case|room|id|no\.?|#|record|score|points?)[ \t:#]*\Z", regex.I)
 _NAME = r"\p{Lu}[\p{L}'’-]{1,60}"
+# Words of titles and counts, not of street names.
+_NO_STREET = r"(?!(?:Minutes?|Hours?|Days?|Weeks?|Months?|Years?|Seconds?|Miles?|Ways?|Steps?|Things?|Tips?|Down|Up|Of|The|In|On|To|And|For|With|From|Into|Across|Along)\b)"
+#: A street of up to three capitalised words before what kind of street it is.
+_CAPITALISED = regex.compile(rf"(?<![\w.,/-])\d{{1,5}}[A-Za-z]?(?:-\d{{1,5}}[A-Za-z]?)?,?\s+(?:[NSEW]\.?\s+)?(?:{_NO_STREET}\p{{Lu}}[\p{{L}}'’-]{{1,60}}\s+){{1,3}}(?:{'|'.join(w.capitalize() for w in STREETS.split('|'))}|{MORE_STREETS})\b(?:(?<=\b(?:St|Rd|Ave|Blvd|Ln|Ct|Str))\.)?(?!\s+\p{{Lu}}[\p{{L}}]+\s+(?:rules?|club)\b)")
 _ADDRESS = [
     regex.compile(rf"(?<![\w.,/-])\d{{1,5}}\s?[A-Za-z]?(?:-\d{{1,5}}[A-Za-z]?)?,?\s+(?:[NSEW]\.?\s+)?[\p{{L}}'’-]{{2,60}}\s+(?:{STREETS})\b\.?(?!\s+\p{{Lu}}[\p{{L}}]+\s+(?:rules?|club)\b)", regex.I),
     regex.compile(rf"(?<!\w){_NAME}\s+(?:{STREETS})\.?,?\s+(?:no\.?\s*)?\d{{1,5}}[A-Za-z]?\b(?!\s+\p{{Ll}}+s\b)", regex.I),
@@ -132,23 +211,35 @@ _TITLED = regex.compile(rf"(?<!\w)(?i:{TITLES})\b\.?\s+(?P<v>(?:(?:\p{{Lu}}\.\s*
 _INTRODUCED = regex.compile(rf"(?<!\w)(?i:{INTRODUCTIONS})\s+(?P<v>{_FULL}|{_NAME},\s{_NAME})(?!\w)")
 
 
+@functools.lru_cache(1 << 16)
 def fold(word: str) -> str:
     """Lower case without marks, for looking names up."""
-    word = unicodedata.normalize("NFD", word.lower().replace("ø", "o").replace("ł", "l").replace("đ", "d").replace("ß", "ss").replace("æ", "ae"))
+    word = word.lower()
+    if word.isascii():
+        return word
+    word = unicodedata.normalize("NFD", word.replace("ø", "o").replace("ł", "l").replace("đ", "d").replace("ß", "ss").replace("æ", "ae"))
     return "".join(c for c in word if not unicodedata.combining(c))
 
 
+def _kind(token: str, *known: set[str]) -> str:
+    """What a word can be in a name: i an initial, g a given name, f a family name; known are given and family names, twice."""
+    bare = fold(token.rstrip("."))
+    if len(bare) == 1:
+        return "i" if token.endswith(".") else ""
+    if "-" in bare:
+        # Of a double name one half tells.
+        halves = {bare, *bare.split("-")}
+        return "".join(k for k, one, two in (("g", known[0], known[2]), ("f", known[1], known[3])) if not (halves.isdisjoint(one) and halves.isdisjoint(two)))
+    return ("g" if bare in known[0] or bare in known[2] else "") + ("f" if bare in known[1] or bare in known[3] else "")
+
+
 def _names(text: str, given: set[str], family: set[str], more: tuple[set[str], set[str]]) -> Iterator[tuple[int, int]]:
     for p in (_TITLED, _INTRODUCED):
         for m in p.finditer(text):
             if not _NOT_PEOPLE.match(text, m.end()):
                 yield m.span("v")
     tokens = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text)]
-    kinds = []
-    for _, _, t in tokens:
-        bare = fold(t.rstrip("."))
-        initial = len(bare) == 1 and t.endswith(".")
-        kinds.append(("i" if initial else "") + ("g" if bare in given or bare in more[0] else "") + ("f" if bare in family or bare in more[1] else ""))
+    kinds = [_kind(t, given, family, *more) for _, _, t in tokens]
     for n in range(len(tokens) - 1):
         if not kinds[n]:
             continue
@@ -182,10 +273,9 @@ def spans(text: str | None, given: set[str] = frozenset(), family: set[str] = fr
             taken[a:b] = b"\1" * (b - a)
             found.append((start[a] if start else a, end[b - 1] if end else b, kind))
 
-    for p in _EMAIL if "@" in flat or regex.search(r"\bat\b", flat, regex.I) else ():
-        for m in p.finditer(flat):
-            mark(*m.span(), "email")
-    if regex.search(r"\d", flat):
+    for m in _EMAIL.finditer(flat) if "@" in flat else ():
+        mark(*m.span(), "email")
+    if _ANY_DIGIT.search(flat):
         for p in _ID:
             for m in p.finditer(flat):
                 mark(*m.span("v"), "id_number")
@@ -198,9 +288,12 @@ def spans(text: str | None, given: set[str] = frozenset(), family: set[str] = fr
                 mark(*m.span(), "phone")
         if start:
             # A run of spelled digits stands for itself: nobody spells a count digit by digit.
-            for m in regex.finditer(r"(?<!\d)\d{7,15}(?!\d)", flat):
-                if text[start[m.start()]].isalpha():
+            for m in _RUN.finditer(flat):
+                if any(text[start[i]].isalpha() for i in range(*m.span())):
                     mark(*m.span(), "phone")
+        for m in _CAPITALISED.finditer(flat):
+            if not _COUNTED.search(flat, max(0, m.start() - 24), m.start()):
+                mark(*m.span(), "street_address")
         for p in _ADDRESS:
             for m in p.finditer(flat):
                 mark(*m.span(), "street_address")
@@ -269,7 +362,7 @@ def find_personal(df: DataFrame, key: str, fields: list[str], given: set[str], f
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, f = shared.value
         for d in batches:
-            words = [{fold(m[0].rstrip(".")) for m in _TOKEN.finditer(plain(t)[0])} for t in d["text"]]
+            words = [{half for m in _TOKEN.finditer(plain(t)[0]) for w in [fold(m[0].rstrip("."))] for half in {w, *w.split("-")} if half} for t in d["text"]]
             rows = [(k, w) for k, found in zip(d[key], words) for w in found if w not in g or w not in f]
             yield pd.DataFrame({key: pd.Series([k for k, _ in rows], dtype=d[key].dtype), "name": pd.Series([w for _, w in rows], dtype=object)})
 

@@ -4,6 +4,8 @@ import random
 from re import _parser
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lantern.llm import bytepair as bp
 from lantern.llm.pii import find_personal, lexicon, name_lexicon, plain, redacted, spans
@@ -46,7 +48,7 @@ def test_spans_lie_in_the_source_and_the_rest_is_kept():
 
 
 def test_long_texts_take_linear_time():
-    for piece in ("a ", "1 ", "a@", "tin ", "a-", "(1) ", "five ", "<", "&amp;", "12 Elm "):
+    for piece in ("a ", "1 ", "a@", "tin ", "a-", "(1) ", "five ", "<", "&amp;", "12 Elm ", "a dot ", "a at ", "[at] ", "a dot b at ", "Aa Lane "):
         spans(piece * 20000, GIVEN, FAMILY)
 
 
@@ -272,3 +274,34 @@ def test_weak_messages_in_several_blocks(spark):
     want = {1: "message", 3: "message", 5: "message", 6: "slot"}
     for block in (10**6, 2, 1):
         assert {r.doc_id: r.why for r in residue(df, "doc_id", "text", block).collect()} == want, block
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("jane@example dot org", "[EMAIL]"), ("jane AT example.org", "[EMAIL]"), ("jane dot doe at mail dot example dot org!", "[EMAIL]!"), ("j (dot) doe <at> mail [dot] co [dot] uk", "[EMAIL]"), ("reach me at jane dot doe at mail dot example dot org please", "reach me at [EMAIL] please"),
+        ("call five five five double one two three four", "call [PHONE]"), ("call 555 one two three triple four", "call [PHONE]"), ("12 Kings Parade", "[STREET_ADDRESS]"), ("at 12 Old Mill Lane, Kalmirost", "at [STREET_ADDRESS], Kalmirost"), ("12 Old Mill Rd.", "[STREET_ADDRESS]"),
+        ("20 Minutes Down Memory Lane", "20 Minutes Down Memory Lane"), ("look at example.org", "look at example.org"), ("I work at foo dot com", "I work at foo dot com"), ("meet at the dot on the i", "meet at the dot on the i"), ("one two three", "one two three"), ("rows two three four five", "rows two three four five"),
+    ],
+)
+def test_disguises_are_written_plainly_with_their_spans(text, want):
+    assert redacted(text, spans(text)) == want
+
+
+_SCRAPS = st.sampled_from(["jane", " at ", " dot ", "[at]", "(dot)", "@", ".", "example", "org", "&#64;", "&lt;", "<p>", "<a href='mailto:x@y.zz'>", "​", "е", "ﬁ", "double ", "five ", "two ", "555-1234", "12 ", "Mill Lane", "Dr. ", "Ann ", "Lee", "\n", "ß", "🙂", " "])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(_SCRAPS, max_size=24).map("".join))
+def test_redaction_keeps_every_character_outside_its_spans(text):
+    flat, start, end = plain(text)
+    if start is not None:
+        assert len(flat) == len(start) == len(end) and all(0 <= a < b <= len(text) for a, b in zip(start, end)) and start == sorted(start)
+    found = spans(text, {"ann"}, {"lee"})
+    assert all(b <= c for (_, b, _), (c, _, _) in zip(found, found[1:]))
+    out, at = redacted(text, found), 0
+    for n, (a, b, kind) in enumerate(found):
+        mark = f"[{kind.upper()}]"
+        assert out.startswith(text[(found[n - 1][1] if n else 0) : a] + mark, at)
+        at += a - (found[n - 1][1] if n else 0) + len(mark)
+    assert out[at:] == text[(found[-1][1] if found else 0) :]
