@@ -114,7 +114,7 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
 
 def p10_templates(spark: SparkSession, base: str) -> DataFrame:
     """Templates of stored messages that exclude a document, with the number of messages of each."""
-    return message_templates(table(spark, base, "documents"), "text").where("verdict > 0")
+    return message_templates(table(spark, base, "documents"), "text").where("verdict > 0").select("template", "n", "verdict")
 
 
 QUERIES = {"p3_found": p3_found, "p3_misses": p3_misses, "p5_found": p5_found, "p5_redacted": p5_redacted, "p4_found": p4_found, "p6_found": p6_found, "p6_surprise": p6_surprise, "p7_found": p7_found, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_leaks": p9_leaks, "p9_report": p9_report, "p10_found": p10_found, "p10_templates": p10_templates}

@@ -1,17 +1,20 @@
 """Template residue and error-page text (problem 10).
 
-Method: messages are mined into templates with a fixed-depth prefix tree (first by number of words,
-then by the first words, then by the share of equal words); each template is classified once and its
-verdict is propagated to every record that holds a message of it. Slots that nobody filled in stand
-in messages of any wording, so they are looked for separately in each record. Code and quotations
-are masked before either, because a record may write about such things.
+Method: messages are mined into templates with a prefix tree of fixed depth (number of words, first
+words, then the words that classify with their places). A leaf is one template, whose slots are the
+places where its messages differ; leaves meet by key in a shuffle, so neither the templates nor
+their support depend on how the corpus is split. Each template is classified once, by its wording or
+by how dense its cues are, how often it occurs and how often it is all there is, and the verdict is
+propagated by a join on the leaf to every record that holds a message of it. Slots that nobody
+filled in stand in messages of any wording, so they are looked for separately in each record. Code
+and quotations are masked before either, because a record may write about such things.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from re import _parser
 
 import pandas as pd
@@ -19,12 +22,20 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut, spread
 
-#: Words that choose the branch of the tree, and the share of equal words that joins a template.
-DEPTH, ALIKE = 4, 0.7
-#: Templates with a verdict that are broadcast at once; more are propagated in so many passes more.
+try:
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+
+#: First words that choose the branch of the tree.
+DEPTH = 4
+#: Templates with a verdict that are broadcast, most frequent first; the others are joined by a shuffle.
 BLOCK = 100_000
+#: A template without known wording is residue if this share of its words are cues (two at least), it
+#: has at most so many words, occurs so often, and such a share of its occurrences is a whole text.
+DENSE, LONGEST, SUPPORT, ALONE = 0.5, 15, 3, 0.3
 
 # The wording of stored messages, fillers and notices, in the languages they come in.
 STATUS = r"bad request|unauthori[sz]ed|payment required|forbidden|(?:page |file |post |url )?not found|method not allowed|not acceptable|request time-?out|gone|payload too large|too many requests|internal server error|server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|access denied|permission denied|seite (?:wurde )?nicht gefunden|zugriff verweigert|interner serverfehler|page (?:non trouvée|introuvable)|accès (?:refusé|interdit)|página no encontrada|acceso denegado|página não encontrada|acesso negado|pagina non trovata|accesso negato|pagina niet gevonden|nie znaleziono strony|страница не найдена|доступ запрещ[её]н|ページが見つかりません|页面(?:未找到|不存在)"
@@ -33,7 +44,7 @@ LOREM = set("lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit
 #: Lorem words that are also words of living languages count only beside the others.
 SHARED = set("do in ex ad id est non et ut sed sit qui do ea eu ante sunt elit sint esse".split())
 SCRIPTS = r"(?:java ?-?script|ecmascript|\bjs\b|(?:client-side )?script(?:s|ing)?(?: execution)?|noscript)"
-DEMANDS = r"enable|enabling|activat\w*|turn on|turn\w* .{0,20} on|switch\w* .{0,8}on|allow|requires?|needs?|must|please|unblock|blocks?|blocked|does not (?:run|support|allow)|do not (?:run|support)|disabled|deaktiviert|aktivier\w*|einschalten|erlauben|benötigt|activer|activez|autoris\w*|nécess\w*|désactivé|activ[ae]r?\b|habilit\w*|permit\w*|requiere|abilit\w*|attiv\w*|inschakelen|włącz\w*|включ\w*|разреш\w*|有効|启用|允许"
+DEMANDS = r"enable|enabling|activat\w*|turn on|turn\w* .{0,20} on|switch\w* .{0,8}on|allow|requires?|needs?|must|please|unblock|blocks?|blocked|does not (?:run|support|allow)|do not (?:run|support)|disabled|deaktiviert|aktivier\w*|einschalten|erlauben|benötigt|activer|activez|autoris\w*|nécess\w*|turned off|switched off|not enabled|ausgeschaltet|désactivé|activ[ae]r?\b|habilit\w*|permit\w*|requiere|abilit\w*|attiv\w*|inschakelen|włącz\w*|включ\w*|разреш\w*|有効|启用|允许"
 
 _FILLER = regex.compile(
     r"""(?:
@@ -93,6 +104,55 @@ _WEAK = [
         r"(?:undefined|null|none|nan|n/a|\[object object\]|[\W_])+",
     )
 ]
+# Whole messages by what they speak of and what became of it, weak until the tree says that they recur.
+_OF = r"(?:page|site|website|web ?page|web ?site|server|service|resource|content|post|answer|question|thread|topic|comment|video|image|file|document|url|link|application|app|system|location|section|article)"
+_OPEN = r"(?:(?:sorry|oops|whoops|unfortunately|hmm)[\W_]*)?(?:we're sorry,? but )?(?:it (?:looks|seems) like |looks like |it appears that )?"
+_THE = r"(?:(?:the|this|that|your|our|an?) )?(?:(?:requested|following|linked) )?"
+_END = r"(?: (?:in|on|at|by|right|for|anymore|any more|now|yet|due|to)\b.{0,60})?[\W_]*"
+_BROAD = [
+    regex.compile(p)
+    for p in (
+        rf"{_OPEN}{_THE}{_OF}(?: you \w+(?: \w+){{0,2}})? (?:is|are|was)(?: currently| temporarily)? (?:not available|unavailable|not working|not found|not responding|not loading|offline){_END}",
+        rf"{_OPEN}{_THE}{_OF}(?: you \w+(?: \w+){{0,2}})? (?:isn't|aren't) (?:available|working|loading|responding){_END}",
+        rf"{_OPEN}{_THE}{_OF}(?: you \w+(?: \w+){{0,2}})? (?:doesn't|does not|no longer) exists?{_END}",
+        rf"{_OPEN}{_THE}{_OF}(?: you \w+(?: \w+){{0,2}})? (?:can't|cannot|can not|couldn't|could not) be (?:reached|found|displayed|loaded|opened){_END}",
+        rf"{_OPEN}{_THE}{_OF}(?: you \w+(?: \w+){{0,2}})? (?:has been|may have been|was) (?:removed|deleted|suspended|disabled|moved|archived){_END}",
+        rf"{_OPEN}{_THE}{_OF}(?: you \w+(?: \w+){{0,2}})? (?:has )?encountered an? .{{0,30}}error.{{0,60}}",
+        rf"{_OPEN}(?:nothing was found|something (?:went wrong|broke|is broken|has gone wrong)).{{0,40}}",
+        rf"{_OPEN}(?:an? |the )?(?:(?:internal|unexpected|unknown|application|fatal|system|server|network|runtime|temporary) )?(?:error|exception) (?:has |have )?(?:occurred|happened)\b.{{0,60}}",
+        r"(?:application|server|system|network|runtime|internal|unexpected) (?:error|exception)\b:?.{0,60}",
+        rf"{_OPEN}you (?:have been|were) (?:temporarily )?(?:blocked|banned|logged out)\b.{{0,60}}",
+        rf"{_OPEN}(?:this|your) (?:account|profile|ip|access) (?:has been|is|was) (?:temporarily )?(?:suspended|disabled|locked|deactivated)\b.{{0,40}}",
+        r"(?:rate|quota|bandwidth|request) limit (?:was |has been )?(?:exceeded|reached)\b.{0,30}",
+        r"too many (?:redirects|attempts|connections|login attempts)\b.{0,30}",
+        r"(?:invalid|expired|invalid or expired) (?:token|session|csrf token|api key)\b[\W_]*",
+        rf"{_OPEN}(?:your |the )?(?:connection|request|operation|session)(?: to .{{0,40}})? (?:has )?timed out\b.{{0,30}}",
+        r"(?:the )?(?:gateway|proxy|server|upstream|backend) (?:returned|answered|replied|responded)\b.{0,50}",
+        rf"(?:please )?(?:verify|verifying|confirm|checking) (?:that |if )?(?:you are|you're) (?:human|not a robot)\b.{{0,40}}",
+        r"just a moment[\W_]*",
+        r"(?:please )?(?:complete|pass) the security check\b.{0,60}",
+        r"you must (?:be logged in|be signed in|log in|sign in) to \w+.{0,40}",
+        r".{0,60}\bunusual traffic from your\b.{0,60}",
+        r"(?:fehler beim|fehler bei der) (?:laden|öffnen|verarbeit\w*|anfrage)\b.{0,40}",
+        r"(?:diese |die )?(?:seite|website|datei) (?:ist )?(?:derzeit |zurzeit |momentan )?nicht (?:verfügbar|erreichbar)[\W_]*",
+        r"erreur (?:lors|pendant) d\w+ .{0,40}",
+        r"(?:cette |la )?page (?:n'est pas disponible|n'existe (?:pas|plus)|est indisponible)\b.{0,30}",
+        r"no se (?:ha podido|pudo|puede) (?:cargar|encontrar|mostrar|abrir) (?:la|el|esta|este) (?:página|sitio|contenido)\b.{0,30}",
+        r"(?:esta |la )?página no (?:está disponible|existe)\b.{0,30}",
+        r"(?:esta |a )?página não (?:está disponível|existe)\b.{0,30}",
+        r"(?:questa |la )?pagina non (?:è disponibile|esiste)\b.{0,30}",
+        r"(?:deze )?pagina (?:is niet beschikbaar|bestaat niet)\b.{0,30}",
+        r"(?:страница|сайт|сервер) (?:недоступ\w+|не существует|не отвечает)\b.{0,30}",
+        r"(?:this is )?(?:an? )?(?:dummy|sample|example|placeholder) (?:text|page|post|paragraph|entry)(?: for .{0,40})?[\W_]*",
+        r"(?:hello world[\W_]*)?(?:welcome to \w+[\W_]*)?this is your first (?:post|page)\b.{0,60}",
+        r"welcome to wordpress[\W_]*",
+        r"(?:no|keine?|aucune?) (?:description|excerpt|biography|beschreibung)(?: is)? (?:available|provided|vorhanden|disponible)[\W_]*",
+        r"(?:text|content|description|excerpt|title|details|body)(?: is| are)? (?:to be|will be|yet to be) (?:added|inserted|written|provided|completed|supplied)\b.{0,30}",
+        r"edit this (?:paragraph|text|section|template)\b.{0,40}",
+        r"(?:this )?(?:page|section|field|space) (?:is |was |has been )?(?:intentionally|deliberately) (?:left )?blank[\W_]*",
+        r"(?:blindtext|fülltext|platzhaltertext|texto de relleno|texte de remplissage|testo segnaposto)[\W_]*",
+    )
+]
 _TALK = regex.compile(r"\b(?:i|my|me|mine|i'm|i've|i'd|ich|mein\w*|je|mon|mes|mi|meu|minha)\b|\?")
 _CUE = regex.compile(
     rf"(?:{STATUS})|{ERRORS}|warning|fatal|traceback|exception|maintenance|blocked|banned|time-?d? ?out|expired|permission|connection (?:was|has|is)|upstream|mirror|server|session|log ?in|sign in|could ?not|couldn't|cannot|unable|failed|no longer|does(?: not|n't) exist|remov|moved|deleted|incomplete|captcha|checking|try again|later|reload|start page|home ?page|request id|reference|oops|sorry|undefined|null|none|nan\b"
@@ -113,7 +173,9 @@ _DEMAND = regex.compile(rf"(?:{DEMANDS})")
 _WORD = regex.compile(r"[\p{L}\p{N}'/]+")
 
 #: The words by which verdicts are given; a template never generalises them.
-KEPT = frozenset(w for source in (STATUS, ERRORS, SCRIPTS, DEMANDS, *(p.pattern for p in (_FILLER, _CUE, *_STRONG, *_WEAK))) for w in regex.findall(r"\p{L}{2,}", source)) | LOREM | CUES
+KEPT = frozenset(w for source in (STATUS, ERRORS, SCRIPTS, DEMANDS, *(p.pattern for p in (_FILLER, _CUE, *_STRONG, *_WEAK, *_BROAD))) for w in regex.findall(r"\p{L}{2,}", source)) | LOREM | CUES
+# Who speaks must outlive generalising as well.
+TALK = frozenset("i my me mine i'm i've i'd ich je mon mes mi meu minha".split())
 
 
 def _needed(pattern: str, flags: int = 0, most: int = 48) -> frozenset[str]:
@@ -176,30 +238,48 @@ def _needed(pattern: str, flags: int = 0, most: int = 48) -> frozenset[str]:
 
 
 #: What a message with a verdict must hold one of. The alternative of no word in _WEAK is tested apart.
-NEEDED = [_needed(p.pattern.replace(r"|[\W_])+", ")+")) for p in (*_STRONG, *_WEAK)] + [_needed(_FILLER.pattern, _parser.SRE_FLAG_VERBOSE)]
+NEEDED = [_needed(p.pattern.replace(r"|[\W_])+", ")+")) for p in (*_STRONG, *_WEAK, *_BROAD)] + [_needed(_FILLER.pattern, _parser.SRE_FLAG_VERBOSE)]
 if not all(NEEDED):
     raise ValueError("a pattern has no word by which its messages are found")
 _ANY = tuple(x for n in [frozenset().union(*NEEDED)] for x in sorted(n, key=len) if not any(y != x and y in x for y in n))
 _ANY_SCRIPT, _ANY_DEMAND = tuple(_needed(_SCRIPT.pattern)) + ("cookies",), tuple(_needed(DEMANDS))
 _LETTER = regex.compile(r"[^\W_]")
+_EDGES = ".,:;!?()[]{}<>\"'“”„«»-–—*#=|"
+
+
+def _finder() -> Callable[[str], bool]:
+    """Whether a string holds one of _ANY; by automaton where the library is there."""
+    if ahocorasick is None:
+        return lambda s: any(x in s for x in _ANY)
+    machine = ahocorasick.Automaton()
+    for x in _ANY:
+        machine.add_word(x, 1)
+    machine.make_automaton()
+    return lambda s: next(machine.iter(s), None) is not None
+
+
+_has_any = _finder()
 
 
 def may_classify(segment: str) -> bool:
-    """Whether a message, or a template that it joins, can get a verdict at all (see verdict).
+    """Whether a message, or a template that it joins, can get a verdict at all (see verdict and judge).
 
     True for every message with one; cheap enough for every message.
     """
-    if any(x in segment for x in _ANY):
+    words = segment.split()
+    if _has_any(segment):
         return True
     if any(x in segment for x in _ANY_SCRIPT) and any(x in segment for x in _ANY_DEMAND):
         return True
-    if sum(w in LOREM and w not in SHARED for w in _WORD.findall(segment)) >= 3:
+    bare = [w.strip(_EDGES) for w in words]
+    if sum(w in CUES for w in bare) >= 2:
+        return True
+    if sum(w in LOREM for w in bare) >= 1 and sum(w in LOREM and w not in SHARED for w in _WORD.findall(segment)) >= 3:
         return True
     # What is left are repeated words and messages of none. The words that no template of the message
     # generalises are those of the first words and of the words that classify.
-    words = segment.replace("?", " ? ").split()
     fixed: list[str] = []
-    for n, w in enumerate(words):
+    for n, w in enumerate(segment.replace("?", " ? ").split()):
         if not any(c.isdigit() for c in w):
             own = _WORD.findall(w)
             if n < DEPTH or not KEPT.isdisjoint(own):
@@ -215,10 +295,13 @@ _QUOTE = regex.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“”\n]
 _BREAK = regex.compile(r"<!--.*?(?:-->|\Z)|</?(?:p|div|br|hr|h\d|li|ul|ol|tr|td|th|table|title|head|body|html|noscript|section|article|header|footer)\b[^<>]*>", regex.S | regex.I)
 _HTML = "a|abbr|acronym|address|article|aside|b|base|bdi|bdo|big|blockquote|body|br|button|caption|center|cite|code|col|colgroup|dd|del|details|dfn|div|dl|dt|em|fieldset|figcaption|figure|font|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|i|iframe|img|input|ins|kbd|label|legend|li|link|main|map|mark|meta|nav|noscript|object|ol|optgroup|option|p|param|pre|q|s|samp|script|section|select|small|span|strike|strong|style|sub|summary|sup|table|tbody|td|textarea|tfoot|th|thead|time|title|tr|tt|u|ul|var|video|audio|canvas|svg|path|source"
 _TAG = regex.compile(rf"</?(?:{_HTML})\b[^<>]*/?>", regex.I)
-_SENTENCE = regex.compile(r"\n+|(?<=[.!?:;…])[)\]\"”»]*\s+(?=[\p{Lu}\p{Lo}\"“«(\[<{])|(?<=[。！？])|\s+(?=(?:Fatal error|Parse error|Warning|Notice|Traceback \(most|HTTP error \d|Script timeout)\b)")
+# Where messages end: at the start of a match, after the one character of end or of full.
+_SENTENCE = regex.compile(r"\n+|(?P<end>[.!?:;…])[)\]\"”»]*\s+(?=[\p{Lu}\p{Lo}\"“«(\[<{])|(?P<full>[。！？])|(?<=\s)(?=(?:Fatal error|Parse error|Warning|Notice|Traceback \(most|HTTP error \d|Script timeout)\b)")
 _WRAP = regex.compile(r"^(?:\W|_)*(?:(?:edit|update|re|bump|thanks|thx|\+1|title|body|score|note|ps|solved|crosspost|reposted from chat|fyi)\b(?:\W|_)*)*", regex.I)
 _TRAIL = regex.compile(r"(?:\s*(?:\+1|\(crosspost\)|thanks[.!]?|thx|bump[.!]?))+\s*$", regex.I)
 
+_TRAILERS = ("+1", "(crosspost)", "thanks", "thx", "bump")
+
 _ID = r"[\p{L}_][\p{L}\p{N}_]*"
 _DOTTED = rf"{_ID}(?:[.| -]{_ID})*"
 _UPPER = r"\p{Lu}[\p{Lu}\p{N}]*(?:[_ ][\p{Lu}\p{N}]+)*"
@@ -236,6 +319,7 @@ _SLOT = regex.compile(
     | (?:<|&lt;) (?!/?(?:{_HTML})\b[^<>]*(?:>|&gt;)) (?:your\s{_ID} | {_UPPER} | [a-z]+(?:[_.][a-z]+)+ | (?:name|username|user|email|date|author|owner|count|excerpt|community|topic|thread|signature|badge|moderator|tag|insert\s[\w ]+)) (?:>|&gt;)
     | \[ (?!(?:OK|INFO|WARN|WARNING|ERROR|DEBUG|FATAL|TRACE|SOLVED|EDIT|UPDATE|UPDATED|CLOSED|DUPLICATE|PDF|SIC|NOTE|DRAFT|WIP|TODO|NSFW|OC|AMA|UTC|FAIL|PASS|PASSED|FAILED|DONE)\]) (?=[\p{{Lu}}_ ]{{3}}) {_UPPER} \] (?!\()
     | \[ (?i:insert|enter|your|add|fill\sin)\s[\w ]{{1,40}} \] | \( {_DOTTED} \s (?i:goes\shere) \) | \(?(?i:insert)\s[\w ]{{1,30}}\s(?i:here)\)?
+    | \[ (?i:(?:(?:customer|client|first|last|full|user|your|company|recipient|sender|contact)[ _-]?)?name|vorname|nachname|pr[ée]nom|nombre) \] (?!\()
     | X{{4,}} (?!\w)
     )""",
     regex.X,
@@ -252,10 +336,18 @@ def mask(text: str) -> str:
 
 def segments(masked: str) -> list[str]:
     """The messages of a masked text: its lines and sentences in lower case, without markup and wrappers."""
-    flat = html.unescape(_TAG.sub(" ", _BREAK.sub("\n", masked)))
+    flat = _TAG.sub(" ", _BREAK.sub("\n", masked)) if "<" in masked else masked
+    flat = html.unescape(flat) if "&" in flat else flat
+    pieces, at = [], 0
+    for m in _SENTENCE.finditer(flat):
+        pieces.append(flat[at : m.start() + (m["end"] is not None or m["full"] is not None)])
+        at = m.end()
+    pieces.append(flat[at:])
     out = []
-    for s in _SENTENCE.split(flat):
-        s = _TRAIL.sub("", _WRAP.sub("", s.strip())) if s else ""
+    for s in pieces:
+        s = _WRAP.sub("", s.strip())
+        if s.rstrip().rstrip(".!").lower().endswith(_TRAILERS):
+            s = _TRAIL.sub("", s)
         s = " ".join(s.lower().split()).strip("…·*#=-–—|> ")
         if _WORD.search(s):
             out.append(s)
@@ -268,31 +360,19 @@ def words_of(segment: str) -> list[str]:
     return ["<*>" if any(c.isdigit() for c in w) else w for w in segment.replace("?", " ? ").split()]
 
 
-class Tree:
-    """Fixed-depth prefix tree of message templates."""
+def leaf_of(words: list[str]) -> list[str]:
+    """The path of a message in the tree: its words, blank where a template of it may have a slot."""
+    return [w if n < DEPTH or w == "<*>" or w == "?" or not (KEPT.isdisjoint(own := _WORD.findall(w)) and TALK.isdisjoint(own)) else "" for n, w in enumerate(words)]
+
 
-    def __init__(self):
-        self.leaves: dict[tuple, list[list]] = {}
+def merged(a: list[str], b: list[str]) -> list[str]:
+    """The template of two messages, or templates, of one leaf."""
+    return [x if x == y else "<*>" for x, y in zip(a, b)]
 
-    def add(self, words: list[str], n: int = 1) -> list[str]:
-        """The template that a message joins or founds. Words that classify are never generalised."""
-        leaf = self.leaves.setdefault((len(words), *words[:DEPTH]), [])
-        for group in leaf:
-            own = group[0]
-            same = sum(a == b for a, b in zip(own, words))
-            if same == len(words):
-                group[1] += n
-                return own
-            if same >= ALIKE * len(words) and not any(a != b and not KEPT.isdisjoint((*_WORD.findall(a), *_WORD.findall(b))) for a, b in zip(own, words)):
-                group[0] = [a if a == b else "<*>" for a, b in zip(own, words)]
-                group[1] += n
-                return group[0]
-        leaf.append([list(words), n])
-        return leaf[-1][0]
 
-    def find(self, words: list[str]) -> list[list[str]]:
-        """Every template that a message is of."""
-        return [g[0] for g in self.leaves.get((len(words), *words[:DEPTH]), ()) if all(a in ("<*>", b) for a, b in zip(g[0], words))]
+def broad(template: str) -> bool:
+    """Whether a template says of a page, a request or the like that something became of it."""
+    return len(_WORD.findall(template)) <= 30 and not _TALK.search(template) and any(p.fullmatch(template) for p in _BROAD)
 
 
 def verdict(template: str) -> int:
@@ -312,10 +392,13 @@ def verdict(template: str) -> int:
     sure = sum(w in LOREM and w not in SHARED for w in words)
     if latin >= 4 and sure >= 3 and latin >= 0.6 * len(words):
         return 2
-    if len(words) <= 40 and _FILLER.fullmatch(core):
+    # A slot of a filler is a word like any other.
+    if len(words) <= 40 and _FILLER.fullmatch(core.replace("<*>", "0")):
         return 2 if len(words) > 1 else 1
     if len(words) <= 40 and any(p.fullmatch(template) for p in _WEAK) and not _TALK.search(template):
         return 1
+    if broad(template):
+        return 1
     plain = [w for w in words if w != "*"]
     if len(plain) >= 2 and len(set(plain)) == 1:
         return 1
@@ -334,86 +417,104 @@ def has_slot(masked: str) -> bool:
     return False
 
 
-def _mine(docs: DataFrame) -> DataFrame:
-    """(template, n): templates of the messages that can get a verdict, mined per task and then added up."""
+def judge(template: str, n: int, alone: int) -> int:
+    """The verdict of a template that occurs n times, alone of them as a whole text; see verdict.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = Tree()
-        for d in batches:
-            for t in d["text"]:
-                for s in segments(mask(t)):
-                    if may_classify(s):
-                        tree.add(words_of(s))
-        rows = [(" ".join(w), n) for leaf in tree.leaves.values() for w, n in leaf]
-        yield pd.DataFrame(rows, columns=["template", "n"])
+    Where the wording alone does not decide the tree does: a message about a page or a request, or a
+    short one made mostly of cues, in nobody's name, that recurs and often is all that a record holds.
+    """
+    known = verdict(template)
+    if known == 2 or n < SUPPORT or alone < ALONE * n or _TALK.search(template):
+        return known
+    if known == 1:
+        return 2 if broad(template) else 1
+    words = [w for w in _WORD.findall(template) if w != "*"]
+    cues = sum(w in CUES for w in words)
+    return 2 if cues >= 2 and len(words) <= LONGEST and cues >= DENSE * len(words) else 0
 
-    return docs.mapInPandas(run, "template string, n long").groupBy("template").agg(F.sum("n").alias("n"))
 
+_CANDIDATES = "why string, parts int, record binary, message int, leaf binary, template string, n long, alone long"
 
-def message_templates(df: DataFrame, text: str) -> DataFrame:
-    """(template, n, verdict): every mined template with the number of its messages and its verdict (see verdict)."""
-    docs = spread(df.select(F.col(text).alias("text")).where(F.col("text").isNotNull()))
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _candidates(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, ...): what one reading of the corpus finds, of three kinds.
+
+    Records with a slot (why); messages that may get a verdict (record, parts: messages of the
+    record, message: its number, leaf); and templates of the leaves (leaf, template, n, alone),
+    merged within each batch. Only rows of the last kind hold text.
+    """
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            out, leaves = [], {}
+            for k, t in zip(d["key"], d["text"]):
+                masked = mask(t)
+                if has_slot(masked):
+                    out.append((k, "slot", None, None, None, None, None, None, None))
+                parts = segments(masked)
+                record = None
+                for number, s in enumerate(parts):
+                    if not may_classify(s):
+                        continue
+                    words = words_of(s)
+                    path = " ".join(leaf_of(words))
+                    known = leaves.get(path)
+                    if known is None:
+                        known = leaves[path] = [hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16).digest(), words, 0, 0]
+                    elif known[1] != words:
+                        known[1] = merged(known[1], words)
+                    known[2] += 1
+                    known[3] += len(parts) == 1
+                    record = record or hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                    out.append((k, None, len(parts), record, number, known[0], None, None, None))
+            out += [(None, None, None, None, None, leaf, " ".join(words), n, alone) for leaf, words, n, alone in leaves.values()]
+            yield pd.DataFrame(out, columns=["key", *(x.split()[0] for x in _CANDIDATES.split(", "))])
+
+    rows = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null"), "key")
+    return rows.mapInPandas(run, f"key {kind}, {_CANDIDATES}")
+
+
+def _templates(found: DataFrame) -> DataFrame:
+    """(leaf, template, n, alone, verdict): the leaves of all batches merged and classified."""
+    places = found.where("template is not null").select("leaf", "n", "alone", F.posexplode(F.split("template", " ")).alias("p", "w"))
+    # A place where messages differ is a slot; the smallest and the greatest word tell, so a leaf of any number of messages is aggregated before it is shuffled.
+    one = places.groupBy("leaf", "p").agg(F.min("w").alias("lo"), F.max("w").alias("hi"), F.sum("n").alias("n"), F.sum("alone").alias("alone"))
+    word = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("<*>")
+    whole = one.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("p", word.alias("w")))).alias("ws"), F.max("n").alias("n"), F.max("alone").alias("alone"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            d["verdict"] = [verdict(t) for t in d["template"]]
+            d["verdict"] = [judge(t, n, a) for t, n, a in zip(d["template"], d["n"], d["alone"])]
             yield d
 
-    return _mine(docs).mapInPandas(judge, "template string, n long, verdict int")
+    return whole.select("leaf", F.array_join("ws.w", " ").alias("template"), "n", "alone").mapInPandas(run, "leaf binary, template string, n long, alone long, verdict int")
+
+
+def message_templates(df: DataFrame, text: str) -> DataFrame:
+    """(template, n, alone, verdict): every mined template with the number of its messages, how many of them are a whole text, and its verdict."""
+    return _templates(cut(_candidates(df.select(F.lit(1).alias("key"), F.col(text).alias("text")), "key", "text"))).drop("leaf")
 
 
 def residue(df: DataFrame, key: str, text: str, block: int = BLOCK) -> DataFrame:
-    """(key, why): records that are residue or hold a piece of it, why being 'message' or 'slot'.
+    """(key, why): records that are residue or hold a piece of it, why being 'message' or 'slot', the latter if both.
 
     Null, empty and blank texts and rows without a key are no cases; a record delivered twice is
-    reported twice; only the named columns are read; an empty table gives no rows. Whole texts are read twice, once to mine and once to
-    propagate; what is shuffled are the templates that hold a classifying word, and what is broadcast
-    are those with a verdict, in blocks of at most `block`, each read by one more pass; of several
-    blocks also the weak messages are shuffled, and a record delivered twice is reported once.
+    reported once, and its texts are judged apart; only the named columns are read; an empty table
+    gives no rows. Whole texts are read once. What is shuffled are the templates of messages that
+    may get a verdict, and the records and leaves of those that have one; the most frequent `block`
+    templates with a verdict are broadcast, the others joined by a shuffle. A record's weak messages
+    are decided after all its marks are gathered.
     """
-    spark = df.sparkSession
-    docs = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null"), "key")
-    judged = message_templates(df, text).where("verdict > 0").select("template", "verdict")
-    found = sorted((r.template, r.verdict) for r in judged.toLocalIterator())
-    kind = dict(df.dtypes)[key]
-
-    blocks = [found[i : i + block] for i in range(0, len(found), block)] or [[]]
-
-    def pass_over(part: list[tuple[str, int]], first: bool) -> DataFrame:
-        shared = spark.sparkContext.broadcast(part)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            tree, verdicts = Tree(), {}
-            for t, v in shared.value:
-                words = t.split()
-                tree.leaves.setdefault((len(words), *words[:DEPTH]), []).append([words, 0])
-                verdicts[t] = v
-            for d in batches:
-                out = []
-                for k, t in zip(d["key"], d["text"]):
-                    masked = mask(t)
-                    if first and has_slot(masked):
-                        out.append((k, "slot", 0, None, 0))
-                        continue
-                    parts = segments(masked)
-                    marks = [max((verdicts[" ".join(w)] for w in tree.find(words_of(s))), default=0) for s in parts]
-                    if len(blocks) == 1 or 2 in marks:
-                        if marks and (max(marks) == 2 or min(marks) == 1):
-                            out.append((k, "message", 0, None, 0))
-                    else:
-                        # Whether every message is weak is known only when all blocks are read.
-                        digest = hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()
-                        out += [(k, None, len(parts), digest, n) for n, m in enumerate(marks) if m]
-                yield pd.DataFrame(out, columns=["key", "why", "parts", "digest", "message"])
-
-        return docs.mapInPandas(run, f"key {kind}, why string, parts int, digest binary, message int")
-
-    out = pass_over(blocks[0], True)
-    if len(blocks) > 1:
-        for part in blocks[1:]:
-            out = out.unionByName(pass_over(part, False))
-        # A key's texts are told apart, so that the messages of one don't stand for another's.
-        weak = out.groupBy("key", "digest").agg(F.max("why").alias("why"), F.max("parts").alias("parts"), F.countDistinct("message").alias("n"))
-        out = weak.withColumn("why", F.when(F.col("why").isNotNull(), F.col("why")).when(F.col("n") == F.col("parts"), "message"))
-        out = out.groupBy("key").agg(F.max("why").alias("why")).where("why is not null")
-    return out.select(F.col("key").alias(key), "why")
+    found = cut(_candidates(df, key, text))
+    judged = cut(_templates(found).where("verdict > 0").select("leaf", "n", "verdict"))
+    messages = found.where("record is not null").select("key", "record", "parts", "message", "leaf")
+    if judged.count() <= block:
+        marks = messages.join(F.broadcast(judged.drop("n")), "leaf")
+    else:
+        top = F.broadcast(judged.orderBy(F.desc("n"), "leaf").limit(block).drop("n"))
+        marks = messages.join(top, "leaf").unionByName(messages.join(top, "leaf", "left_anti").join(judged.drop("n"), "leaf"))
+    texts = marks.groupBy("key", "record", "parts").agg(F.max("verdict").alias("most"), F.countDistinct("message").alias("n"))
+    cases = texts.where("most = 2 or n = parts").select("key", F.lit("message").alias("why"))
+    cases = cases.unionByName(found.where("why is not null").select("key", "why"))
+    return cases.groupBy(F.col("key").alias(key)).agg(F.max("why").alias("why"))

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from lantern.llm import bytepair as bp
 from lantern.llm.pii import find_personal, lexicon, name_lexicon, plain, redacted, spans
 from lantern.llm import residue as rs
-from lantern.llm.residue import Tree, has_slot, mask, message_templates, residue, segments, verdict, words_of
+from lantern.llm.residue import has_slot, judge, leaf_of, mask, merged, message_templates, residue, segments, verdict, words_of
 from lantern.llm.tiling import Index, leaks, tiles, words
 
 GIVEN, FAMILY = {"orvika", "senna"}, {"blenmark", "thorvest"}
@@ -190,15 +190,54 @@ def test_residue_of_one_text(text, want):
     assert (has_slot(masked) or bool(marks and (max(marks) == 2 or min(marks) == 1))) is want
 
 
-def test_tree_generalises_what_does_not_classify():
-    tree = Tree()
-    tree.add(words_of("the archive mirror did not answer in 5 seconds today"))
-    tree.add(words_of("the archive mirror did not answer in 9 seconds yesterday"))
-    assert [" ".join(g[0]) for leaf in tree.leaves.values() for g in leaf] == ["the archive mirror did not answer in <*> seconds <*>"]
-    tree.add(words_of("400 - bad request"))
-    tree.add(words_of("502 - bad gateway"))
-    assert sum(map(len, tree.leaves.values())) == 3
-    assert tree.find(words_of("the archive mirror did not answer in 7 seconds now"))
+def test_leaves_generalise_what_does_not_classify():
+    one, two = (words_of(f"the archive mirror did not answer in {n} seconds {day}") for n, day in ((5, "today"), (9, "yesterday")))
+    assert leaf_of(one) == leaf_of(two) and " ".join(merged(one, two)) == "the archive mirror did not answer in <*> seconds <*>"
+    assert leaf_of(words_of("400 - bad request")) != leaf_of(words_of("502 - bad gateway"))
+    assert leaf_of(words_of("somewhere in the deep archive i slept")) != leaf_of(words_of("somewhere in the deep archive we slept"))
+
+
+def test_templates_do_not_depend_on_the_partitions(spark):
+    texts = [f"the archive mirror did not answer in {n} seconds {d}" for n in range(20) for d in ("today", "yesterday", "tomorrow")] + ["404 Not Found", "Page 7 not found", "Insert title here", "your text goes here"] * 9 + [f"error {n} while loading page {w}" for n, w in enumerate("a b c d e f".split())]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = None
+    for parts, batch in ((1, 10000), (3, 5), (8, 1)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = {tuple(r) for r in message_templates(df.repartition(parts), "text").collect()}
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        want = want or got
+        assert got == want
+    assert ("the archive mirror did not answer in <*> seconds <*>", 60, 60, 2) in want
+
+
+def test_support_decides_where_the_wording_alone_does_not():
+    assert [judge("the gateway returned <*>, retry in a minute.", n, alone) for n, alone in ((1, 1), (9, 0), (9, 5))] == [1, 1, 2]
+    assert [judge("database backend error, session rejected", n, alone) for n, alone in ((1, 1), (9, 0), (9, 5))] == [0, 0, 2]
+    assert judge("i reload the page on error", 9, 9) == 0 and judge("the kernel of the sample is skewed", 99, 99) == 0
+
+
+# Not used to write the patterns; what is found of them is the figure in the README.
+HELD_OUT = [
+    "The file you requested was moved to another server.", "Error: could not retrieve the thread.", "We are experiencing technical difficulties. Check back shortly.", "This question was removed from the site for reasons of moderation.", "An error occurred while loading this comment.",
+    "The operation was aborted because the server is overloaded.", "404. That's an error.", "Oh no! There's nothing here.", "Access to this resource is restricted.", "Your request could not be processed at this time.", "Internal error, reference 8812-77.", "Bad request: missing parameter id.",
+    "The service is temporarily down, we'll be back soon.", "Zeitüberschreitung der Anforderung.", "Interner Fehler, bitte versuchen Sie es später erneut.", "Une erreur est survenue, veuillez réessayer.", "Ha ocurrido un error inesperado.", "Si è verificato un errore.", "Ocorreu um erro ao carregar a página.",
+    "Произошла ошибка, попробуйте позже.", "This website uses JavaScript. Please activate it in your settings.", "Your browser has scripts disabled, so comments cannot be shown.", "Abilita JavaScript per continuare.", "Enter title here", "Body text", "Ut enim ad minim veniam, quis nostrud exercitation.",
+    "Greetings [USERNAME], your badge [BADGE_NAME] awaits.", "Dear ${user}, ${message}", "{% block content %}{% endblock %}", "This is some placeholder copy, please replace it.",
+]
+CONTENT = [
+    "How do I return a 404 from the view when the row is missing?", "I get error 500 when I load the page, any idea?", "The page cache is not found to be the bottleneck.", "You can enable the planner option in the settings.", "Please try again with a larger sample and report the variance.",
+    "My answer was deleted by a moderator.", "The server is slow because the index is missing.", "We could not reproduce the estimate.", "JavaScript closures capture variables by reference.", "Type checking here is optional.", "Thanks, that solved the error.", "The request id column is unique.", "It works on my server.",
+]
+
+
+def test_wording_not_tuned_for():
+    def case(text):
+        masked = mask(text)
+        marks = [judge(" ".join(words_of(s)), 5, 5) for s in segments(masked)]
+        return has_slot(masked) or bool(marks and (max(marks) == 2 or min(marks) == 1))
+
+    assert not any(map(case, CONTENT))
+    assert sum(map(case, HELD_OUT)) >= 12
 
 
 def test_residue_operator(spark):
@@ -246,7 +285,7 @@ def test_what_has_a_verdict_is_mined(text):
 
 def test_everything_with_a_verdict_is_mined():
     rnd, seen = random.Random(3), 0
-    sources = [(p.pattern, 0) for p in (*rs._STRONG, *rs._WEAK)] + [(rs._FILLER.pattern, _parser.SRE_FLAG_VERBOSE)]
+    sources = [(p.pattern, 0) for p in (*rs._STRONG, *rs._WEAK, *rs._BROAD)] + [(rs._FILLER.pattern, _parser.SRE_FLAG_VERBOSE)]
     for source, flags in sources:
         parsed = _parser.parse(source, flags)
         for _ in range(600 if flags else 60):
@@ -255,12 +294,14 @@ def test_everything_with_a_verdict_is_mined():
             assert rs.may_classify(text) or verdict(" ".join(words_of(text))) == 0, text
     assert seen > 1000
     # Also through what a template generalises.
-    tree, pool = Tree(), ["ha", "so", "q", "z", "8", "-", "the", "error", "/", "dolor", "js", "must"]
+    leaves, pool = {}, ["ha", "so", "q", "z", "8", "-", "the", "error", "/", "dolor", "js", "must"]
     texts = [" ".join(rnd.choice(pool[: rnd.randint(2, 12)]) for _ in range(rnd.randint(1, 12))) for _ in range(6000)]
     for t in texts:
-        tree.add(words_of(t))
+        w = words_of(t)
+        path = tuple(leaf_of(w))
+        leaves[path] = merged(leaves.get(path, w), w)
     for t in texts:
-        assert rs.may_classify(t) or not any(verdict(" ".join(w)) for w in tree.find(words_of(t))), t
+        assert rs.may_classify(t) or not judge(" ".join(leaves[tuple(leaf_of(words_of(t)))]), 9, 9), t
 
 
 def test_residue_in_ascii_of_other_languages(spark):
