@@ -12,8 +12,10 @@ and quotations are masked before either, because a record may write about such t
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
+import re
 from collections.abc import Callable, Iterator
 from re import _parser
 
@@ -171,6 +173,7 @@ CUES = LOREM - SHARED | set(
 _SCRIPT = regex.compile(SCRIPTS + r"|скрипт|スクリプト|脚本")
 _DEMAND = regex.compile(rf"(?:{DEMANDS})")
 _WORD = regex.compile(r"[\p{L}\p{N}'/]+")
+_ASCII_WORD = re.compile(r"[A-Za-z0-9'/]+")
 
 #: The words by which verdicts are given; a template never generalises them.
 KEPT = frozenset(w for source in (STATUS, ERRORS, SCRIPTS, DEMANDS, *(p.pattern for p in (_FILLER, _CUE, *_STRONG, *_WEAK, *_BROAD))) for w in regex.findall(r"\p{L}{2,}", source)) | LOREM | CUES
@@ -244,7 +247,6 @@ if not all(NEEDED):
 _ANY = tuple(x for n in [frozenset().union(*NEEDED)] for x in sorted(n, key=len) if not any(y != x and y in x for y in n))
 _ANY_SCRIPT, _ANY_DEMAND = tuple(_needed(_SCRIPT.pattern)) + ("cookies",), tuple(_needed(DEMANDS))
 _LETTER = regex.compile(r"[^\W_]")
-_EDGES = ".,:;!?()[]{}<>\"'“”„«»-–—*#=|"
 
 
 def _finder() -> Callable[[str], bool]:
@@ -266,18 +268,18 @@ def may_classify(segment: str) -> bool:
 
     True for every message with one; cheap enough for every message.
     """
-    words = segment.split()
     if _has_any(segment):
         return True
     if any(x in segment for x in _ANY_SCRIPT) and any(x in segment for x in _ANY_DEMAND):
         return True
-    bare = [w.strip(_EDGES) for w in words]
-    if sum(w in CUES for w in bare) >= 2:
-        return True
-    if sum(w in LOREM for w in bare) >= 1 and sum(w in LOREM and w not in SHARED for w in _WORD.findall(segment)) >= 3:
+    # Two cues, which are also fewer than any lorem needs.
+    if sum(map(CUES.__contains__, (_ASCII_WORD if segment.isascii() else _WORD).findall(segment))) >= 2:
         return True
     # What is left are repeated words and messages of none. The words that no template of the message
     # generalises are those of the first words and of the words that classify.
+    words = segment.split()
+    if len(set(words[:DEPTH])) == DEPTH and all(map(str.isalpha, words[:DEPTH])):
+        return False
     fixed: list[str] = []
     for n, w in enumerate(segment.replace("?", " ? ").split()):
         if not any(c.isdigit() for c in w):
@@ -324,13 +326,17 @@ _SLOT = regex.compile(
     )""",
     regex.X,
 )
+#: What every slot holds one of.
+_MAY_SLOT = regex.compile(r"[{\[%@~$_<&]|XXXX|(?i:here)")
 _ABOUT = regex.compile(r"\b(?:regex|regular expression|escape|escaping|template engine|format string|placeholder|syntax|literal|macro|variable|interpolat\w*|parse[rs]?|renders?|such as|for example|e\.g\.)\b", regex.I)
 
 
 def mask(text: str) -> str:
     """text with code and quotations blanked out; a quotation of nothing but a slot stays."""
-    text = _FENCE.sub(" ¤ ", text)
-    text = _INDENT.sub(" ¤ ", text)
+    if "`" in text or "<" in text or "~~~" in text:
+        text = _FENCE.sub(" ¤ ", text)
+    if "    " in text or "\t\t" in text or ">" in text or "&gt;" in text:
+        text = _INDENT.sub(" ¤ ", text)
     return _QUOTE.sub(lambda m: m[0] if _SLOT.fullmatch(m[0].removeprefix("&quot;").removesuffix("&quot;").strip("\"“”„«» ")) else " ¤ ", text)
 
 
@@ -354,15 +360,28 @@ def segments(masked: str) -> list[str]:
     return out
 
 
+_DIGIT = regex.compile(r"[0-9]")
+
+
 def words_of(segment: str) -> list[str]:
     """The words of a message, those with digits as slots of the template."""
     # A question mark is a word of its own: it says who speaks and must outlive generalising.
-    return ["<*>" if any(c.isdigit() for c in w) else w for w in segment.replace("?", " ? ").split()]
+    words = segment.replace("?", " ? ").split()
+    if segment.isascii() and not _DIGIT.search(segment):
+        return words
+    return ["<*>" if any(map(str.isdigit, w)) else w for w in words]
+
+
+@functools.lru_cache(1 << 16)
+def _stays(word: str) -> bool:
+    """Whether no template generalises a word, wherever it stands."""
+    own = _WORD.findall(word)
+    return word in ("<*>", "?") or not (KEPT.isdisjoint(own) and TALK.isdisjoint(own))
 
 
 def leaf_of(words: list[str]) -> list[str]:
     """The path of a message in the tree: its words, blank where a template of it may have a slot."""
-    return [w if n < DEPTH or w == "<*>" or w == "?" or not (KEPT.isdisjoint(own := _WORD.findall(w)) and TALK.isdisjoint(own)) else "" for n, w in enumerate(words)]
+    return words[:DEPTH] + [w if _stays(w) else "" for w in words[DEPTH:]]
 
 
 def merged(a: list[str], b: list[str]) -> list[str]:
@@ -409,7 +428,7 @@ def verdict(template: str) -> int:
 
 def has_slot(masked: str) -> bool:
     """Whether a slot stands unresolved in a record that does not write about slots there."""
-    for m in _SLOT.finditer(masked):
+    for m in _SLOT.finditer(masked) if _MAY_SLOT.search(masked) else ():
         a = max(masked.rfind(c, 0, m.start()) for c in ".\n?!") + 1
         ends = [e for e in (masked.find(c, m.end()) for c in ".\n?!") if e >= 0]
         if not _ABOUT.search(masked[a : min(ends, default=len(masked))]):
