@@ -41,10 +41,11 @@ def recall_at(found: Column, truth: Column, k: int) -> Column:
 
 
 def ndcg_at(found: Column, truth: Column, k: int) -> Column:
-    """Normalised discounted gain at k with relevance 1 / (place in truth), capped at 1; 1 where the truth is empty."""
-    gain = lambda x, i: F.when(F.array_contains(truth, x), F.lit(1.0) / F.array_position(truth, x) / F.log2(i + 2)).otherwise(0.0)
+    """Normalised discounted gain at k with relevance 1 / (place in truth) for the first k of the truth, capped at 1; 1 where the truth is empty."""
+    head = F.slice(truth, 1, k)
+    gain = lambda x, i: F.when(F.array_contains(head, x), F.lit(1.0) / F.array_position(head, x) / F.log2(i + 2)).otherwise(0.0)
     got = F.aggregate(F.transform(F.slice(found, 1, k), gain), F.lit(0.0), lambda s, x: s + x)
-    best = F.aggregate(F.transform(F.slice(truth, 1, k), lambda x, i: F.lit(1.0) / (i + 1) / F.log2(i + 2)), F.lit(0.0), lambda s, x: s + x)
+    best = F.aggregate(F.transform(head, lambda x, i: F.lit(1.0) / (i + 1) / F.log2(i + 2)), F.lit(0.0), lambda s, x: s + x)
     return F.when(F.size(truth) == 0, 1.0).otherwise(F.least(got / best, F.lit(1.0)))
 
 

@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import simple_tags
+from ..operators.bm25 import build_index
 from ..operators.upsert import insert_new, merge_named, upsert
-from ..plans.graphs import Graph
+from ..plans.graphs import Graph, co_occurrence
+from ..session import exists
 from ..sources.dumps import FILES, read_all
 
 # Columns of users and posts that a later delivery changes.
@@ -60,8 +62,7 @@ def documents(tables: dict[str, DataFrame]) -> DataFrame:
 
 def complete(spark: SparkSession, path: str) -> bool:
     """Whether a part was written to its end."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return exists(spark, f"{path}/_SUCCESS")
 
 
 def load(spark: SparkSession, folder: str, out: str, only: tuple[str, ...] = (), dry_run: bool = False) -> dict[str, int]:
@@ -84,6 +85,9 @@ def load(spark: SparkSession, folder: str, out: str, only: tuple[str, ...] = (),
     if only or dry_run:
         return done
     write("documents", documents(tables))
+    index = f"{out}/index.parquet"
+    if not complete(spark, f"{index}/stats"):
+        build_index(spark.read.parquet(f"{out}/documents.parquet"), "_id", ["title", "text"], ["tag_name"], index)
     g = Graph(spark, out)
     for name, edges in {"asked": g.asked, "answered": g.answered, "answers": g.answers, "accepted": g.accepted}.items():
         write(f"edges_{name}", edges())
@@ -91,6 +95,7 @@ def load(spark: SparkSession, folder: str, out: str, only: tuple[str, ...] = (),
         known = tables["tags"].select(F.lower("tag_name").alias("dst"))
         tagged = tables["posts"].where("post_type_id = 1").select(F.col("id").alias("src"), F.explode(simple_tags(F.lower("tags"))).alias("dst")).distinct().join(known, "dst", "left_semi")
         write("edges_tagged_with", tagged.select("src", "dst"))
+        write("edges_co_occurs_with", co_occurrence(spark.read.parquet(f"{out}/edges_tagged_with.parquet")))
     if "postlinks" in tables:
         write("edges_linked_to", g.links(1))
         write("edges_duplicate_of", g.links(3))

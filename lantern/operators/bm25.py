@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -33,27 +33,19 @@ def postings(words: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     return rows.groupBy("term", "field", "doc", "dl").agg(F.count("*").alias("tf"))
 
 
-def search(docs: DataFrame, key: str, boosts: dict[str, float], questions: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, doc, score, rank_no): the k best documents of each question by its best field.
-
-    questions has query_id and text; it is the stated query set and is broadcast. A field's score
-    adds up its terms (each once), times the field's boost; a document has the score of its best
-    field, rounded to four places so that equal documents stay equal, then the smaller id first. A
-    question without terms finds nothing.
-    """
-    asked = questions.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    words = field_tokens(docs, key, list(boosts))
-    stats = field_stats(words)
-    found = postings(words, asked)
+def _ranked(found: DataFrame, stats: DataFrame, asked: DataFrame, boosts: dict[str, float], k: int) -> DataFrame:
+    """The k best documents of each question: its terms' postings weighed, added up by field, the best field taken."""
     df = found.groupBy("term", "field").agg(F.count("*").alias("df"))
     boost = F.create_map(*[F.lit(x) for f, b in boosts.items() for x in (f, float(b))])
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    # A keyword has no length; it counts as one of mean length.
+    length = F.coalesce(F.col("dl") / F.col("avgdl"), F.lit(1.0))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length))
     scored = (
         found.join(F.broadcast(df), ["term", "field"])
         .join(F.broadcast(stats), "field")
         .select("term", "field", "doc", weight.alias("w"))
-        .join(F.broadcast(asked), "term")
+        .join(F.broadcast(asked), ["term", "field"])
         .groupBy("query_id", "doc", "field")
         .agg(F.sum("w").alias("s"))
         .groupBy("query_id", "doc")
@@ -63,6 +55,72 @@ def search(docs: DataFrame, key: str, boosts: dict[str, float], questions: DataF
     return scored.withColumn("rank_no", F.row_number().over(order)).where(F.col("rank_no") <= k)
 
 
+def _asked(questions: DataFrame, fields: list[str], keywords: list[str]) -> DataFrame:
+    """(query_id, field, term): the terms of each question, each once, and for keyword fields the whole question."""
+    texts = F.array(*[F.struct(F.lit(f).alias("field"), F.array_distinct(tokens(F.col("text"))).alias("terms")) for f in fields], *[F.struct(F.lit(f).alias("field"), F.array("text").alias("terms")) for f in keywords])
+    return questions.where("text is not null").select("query_id", F.explode(texts).alias("c")).select("query_id", "c.field", F.explode("c.terms").alias("term"))
+
+
+def search(docs: DataFrame, key: str, boosts: dict[str, float], questions: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, doc, score, rank_no): the k best documents of each question by its best field.
+
+    questions has query_id and text; it is the stated query set and is broadcast. A field's score
+    adds up its terms (each once), times the field's boost; a document has the score of its best
+    field, rounded to four places so that equal documents stay equal, then the smaller id first. A
+    question without terms finds nothing. The documents are read here; see search_index for many
+    questions over time.
+    """
+    asked = _asked(questions, list(boosts), [])
+    words = field_tokens(docs, key, list(boosts))
+    return _ranked(postings(words, asked), field_stats(words), asked, boosts, k)
+
+
+def build_index(docs: DataFrame, key: str, fields: list[str], keywords: list[str], path: str, buckets: int = 64) -> None:
+    """Writes the postings of analysed and keyword fields in buckets by term, and the fields' statistics, under path.
+
+    A bucket is a folder sorted by term, so a question reads the buckets and row groups of its terms
+    only. Buckets of frequent terms are split between tasks. Statistics are written last: an index
+    without them is not there.
+    """
+    words = field_tokens(docs, key, fields)
+    rows = postings(words).select("term", "field", "doc", "tf", F.col("dl").cast("int").alias("dl"))
+    stats = field_stats(words)
+    for f in keywords:
+        one = docs.where(F.col(f).isNotNull()).select(F.col(f).alias("term"), F.lit(f).alias("field"), F.col(key).alias("doc"), F.lit(1).cast("long").alias("tf"), F.lit(None).cast("int").alias("dl"))
+        rows = rows.unionByName(one)
+        stats = stats.unionByName(one.groupBy("field").agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("avgdl")))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    stats.withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+#: Terms of questions that become a condition at the scan; more are joined.
+LISTED = 1000
+
+
+def search_index(spark: SparkSession, path: str, boosts: dict[str, float], questions: DataFrame, k: int = 10) -> DataFrame:
+    """As search, over an index that build_index wrote; boosts names its fields, analysed and keyword ones.
+
+    The questions are a stated set; their terms are collected to name the buckets to read.
+    """
+    stats = spark.read.schema("field string, n long, avgdl double, buckets int").parquet(f"{path}/stats").where(F.col("field").isin(*boosts))
+    known = stats.collect()
+    keywords = [r.field for r in known if r.avgdl is None]
+    asked = _asked(questions, [f for f in boosts if f not in keywords], keywords)
+    buckets = known[0].buckets if known else 1
+    # The postings' schema is fixed, so no file is opened to learn it.
+    terms = asked.select("term", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")).distinct()
+    listed = terms.limit(LISTED + 1).collect()
+    kind = "bigint" if not known else dict(spark.read.parquet(f"{path}/postings").dtypes)["doc"]
+    rows = spark.read.schema(f"term string, field string, doc {kind}, tf long, dl int, bucket int").parquet(f"{path}/postings").where(F.col("field").isin(*boosts))
+    if len(listed) <= LISTED:
+        rows = rows.where(F.col("bucket").isin(*{r.bucket for r in listed}) & F.col("term").isin(*{r.term for r in listed}))
+    else:
+        rows = rows.join(F.broadcast(terms), ["bucket", "term"], "left_semi")
+    local = spark.createDataFrame([(r.field, r.n, r.avgdl) for r in known], "field string, n long, avgdl double")
+    return _ranked(rows.drop("bucket"), local, asked, boosts, k)
+
+
 def keyword(docs: DataFrame, field: str, text: str) -> DataFrame:
     """Rows whose un-analysed field equals the whole question."""
     return docs.where(F.col(field) == F.lit(text))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS
-from ..operators.bm25 import field_stats, field_tokens, keyword, postings, search
-from ..session import table
+from ..operators.bm25 import build_index, field_stats, field_tokens, keyword, postings, search, search_index
+from ..session import exists, files_state, shared_folder, table
 from .book import Book, top
 
 BOOK = Book()
@@ -56,10 +56,33 @@ def doc_search(spark: SparkSession, base: str) -> DataFrame:
     return search(table(spark, base, "documents"), "doc_id", BOOSTS, asked(spark)).withColumnRenamed("doc", "doc_id")
 
 
-@BOOK.add("doc_search_body", "WITH " + bm25_sql(_DOCS, _values(ASKED[:4]), 20, {"text": 1.0}) + _HITS)
+#: The keyword field of the index, and questions that are one of its values.
+KEYWORDS = {"source": 1.0}
+WITH_KEYWORD = [*ASKED, ("d21", "metrics-hall"), ("d22", "query-yard"), ("d23", "no such source")]
+_KEYED = "kw AS (SELECT query_id, doc_id AS doc, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 4) AS score FROM (SELECT query_id, doc_id, count(*) OVER (PARTITION BY query_id) AS df FROM documents JOIN (" + _values(WITH_KEYWORD) + """) a ON source = a.text), (SELECT count(source) AS n FROM documents)),
+every AS (SELECT query_id, doc, max(score) AS score FROM (SELECT query_id, doc, score FROM best UNION ALL SELECT * FROM kw) GROUP BY ALL)
+SELECT query_id, doc AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc)::INT AS rank_no FROM every QUALIFY rank_no <= 10"""
+
+
+def index(spark: SparkSession, base: str) -> str:
+    """The folder of the documents' index, built once in the shared folder while the documents stay as they are."""
+    path = f"{shared_folder(spark)}/index-{files_state(spark, base, ('documents',))[:32]}"
+    if not exists(spark, f"{path}/stats/_SUCCESS"):
+        build_index(table(spark, base, "documents"), "doc_id", list(BOOSTS), list(KEYWORDS), path)
+    return path
+
+
+@BOOK.add("doc_search_indexed", "WITH " + bm25_sql(_DOCS, _values(WITH_KEYWORD), 10, BOOSTS) + ", " + _KEYED)
+def doc_search_indexed(spark: SparkSession, base: str) -> DataFrame:
+    """All questions against the stored index: title, text and a keyword field, the best counts."""
+    questions = spark.createDataFrame(WITH_KEYWORD, "query_id string, text string")
+    return search_index(spark, index(spark, base), {**BOOSTS, **KEYWORDS}, questions).withColumnRenamed("doc", "doc_id")
+
+
+@BOOK.add("doc_search_body", "WITH " + bm25_sql(_DOCS, _values(ASKED), 20, {"text": 1.0}) + _HITS)
 def doc_search_body(spark: SparkSession, base: str) -> DataFrame:
     """A single field."""
-    return search(table(spark, base, "documents"), "doc_id", {"text": 1.0}, asked(spark).where("query_id <= 'd04'"), 20).withColumnRenamed("doc", "doc_id")
+    return search(table(spark, base, "documents"), "doc_id", {"text": 1.0}, asked(spark), 20).withColumnRenamed("doc", "doc_id")
 
 
 @BOOK.add("doc_search_filtered", "WITH " + bm25_sql("SELECT doc_id AS doc, title, text FROM documents WHERE doc_type IN ('answer', 'comment') AND creation_date >= '2022-01-01'", _values(ASKED), 10, BOOSTS) + _HITS)
@@ -69,11 +92,11 @@ def doc_search_filtered(spark: SparkSession, base: str) -> DataFrame:
     return search(docs, "doc_id", BOOSTS, asked(spark)).withColumnRenamed("doc", "doc_id")
 
 
-@BOOK.add("doc_source_hits", "WITH " + bm25_sql(_DOCS, _values(ASKED[:6]), 10, BOOSTS) + "SELECT query_id, 'doc_' || d.doc_id AS _id, score AS _score, d.doc_type, coalesce(d.title, '') AS title, coalesce(d.post_id, 0) AS post_id FROM hits h JOIN documents d ON d.doc_id = h.doc")
+@BOOK.add("doc_source_hits", "WITH " + bm25_sql(_DOCS, _values(ASKED), 10, BOOSTS) + "SELECT query_id, 'doc_' || d.doc_id AS _id, score AS _score, d.doc_type, coalesce(d.title, '') AS title, coalesce(d.post_id, 0) AS post_id FROM hits h JOIN documents d ON d.doc_id = h.doc")
 def doc_source_hits(spark: SparkSession, base: str) -> DataFrame:
     """Hits with their source fields (D6, D7); the few hits are broadcast to the one scan that fetches them."""
     docs = table(spark, base, "documents")
-    hits = search(docs, "doc_id", BOOSTS, asked(spark).where("query_id <= 'd06'"))
+    hits = search(docs, "doc_id", BOOSTS, asked(spark))
     rows = docs.select("doc_id", "doc_type", "title", "post_id").join(F.broadcast(hits), F.col("doc_id") == F.col("doc"))
     return rows.select("query_id", F.concat(F.lit("doc_"), F.col("doc_id")).alias("_id"), F.col("score").alias("_score"), "doc_type", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("post_id", F.lit(0)).alias("post_id"))
 

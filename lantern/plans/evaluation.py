@@ -38,7 +38,7 @@ def log(spark: SparkSession, base: str) -> DataFrame:
         (F.col("event_id") % 4).alias("conflict_count"),
         (F.col("event_id") % 11 == 0).alias("is_cannot_answer"),
         F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.col("user_id") + i * 2).alias("found"),
-        F.transform(F.sequence(F.lit(1), F.col("event_id") % 5 + 1), lambda i: F.col("user_id") + i * 3 + F.col("event_id") % 2).alias("truth"),
+        F.transform(F.sequence(F.lit(1), F.col("event_id") % 16 + 1), lambda i: F.col("user_id") + i * 3 + F.col("event_id") % 2).alias("truth"),
         F.concat(F.lit("See "), F.col("event_id") + 1000, F.lit(" and item_"), F.col("user_id"), F.lit(", not "), F.col("event_id") % 1000, F.lit(".")).alias("answer"),
         "event_id",
     )
@@ -54,11 +54,11 @@ log AS (SELECT event_id % 120 AS question_id, {_arr(SYSTEMS)}[(event_id % 5)::IN
   list_filter({_arr(E.SERVICES)}, lambda x, i: (event_id + user_id + i - 1) % 3 <> 0) AS got,
   ['f1', 'ndcg10', 'recall10'][(event_id % 3)::INT + 1] AS af_metric, value AS retrieval_ms, event_id % 4 AS conflict_count,
   list_transform(generate_series(1, event_id % 12 + 1), lambda i: user_id + i * 2) AS found,
-  list_transform(generate_series(1, event_id % 5 + 1), lambda i: user_id + i * 3 + event_id % 2) AS truth, event_id, user_id FROM base),
+  list_transform(generate_series(1, event_id % 16 + 1), lambda i: user_id + i * 3 + event_id % 2) AS truth, event_id, user_id FROM base),
 measured AS (SELECT *, len(list_intersect(required, got))::DOUBLE / len(required) AS sc,
   CASE WHEN len(list_intersect(found, truth)) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(found, truth)) / (len(found) + len(truth)) END AS f1,
   len(list_intersect(found[1:10], truth))::DOUBLE / len(truth) AS recall10,
-  least(1.0, list_sum(list_transform(found[1:10], lambda x, i: CASE WHEN list_contains(truth, x) THEN 1.0 / list_position(truth, x) / log2(i + 1) ELSE 0.0 END)) / list_sum(list_transform(truth[1:10], lambda x, i: 1.0 / i / log2(i + 1)))) AS ndcg10 FROM log)
+  least(1.0, list_sum(list_transform(found[1:10], lambda x, i: CASE WHEN list_contains(truth[1:10], x) THEN 1.0 / list_position(truth[1:10], x) / log2(i + 1) ELSE 0.0 END)) / list_sum(list_transform(truth[1:10], lambda x, i: 1.0 / i / log2(i + 1)))) AS ndcg10 FROM log)
 """
 
 

@@ -16,6 +16,13 @@ from .relational import MAIN, SECOND, THIRD
 BOOK = Book()
 
 
+def co_occurrence(tagged: DataFrame) -> DataFrame:
+    """(src, dst, weight): tags and the number of questions that have both. Questions with equal tag sets are expanded once."""
+    sets = tagged.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("ts")).groupBy("ts").agg(F.count("*").alias("n"))
+    pairs = sets.select("ts", "n", F.posexplode("ts").alias("p", "a")).select("n", F.col("a").alias("src"), F.explode(F.expr("slice(ts, p + 2, greatest(size(ts) - p - 1, 0))")).alias("dst"))
+    return pairs.groupBy("src", "dst").agg(F.sum("n").alias("weight"))
+
+
 class Graph:
     """Nodes and edges of an archive. An edge is there only if both its ends are."""
 
@@ -58,9 +65,7 @@ class Graph:
 
     def cooccurs(self, least: int = 1) -> DataFrame:
         """(src, dst, weight), each unordered pair once. Questions with equal tag sets are expanded once."""
-        sets = self.tagged().groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("ts")).groupBy("ts").agg(F.count("*").alias("n"))
-        pairs = sets.select("ts", "n", F.posexplode("ts").alias("p", "a")).select("n", F.col("a").alias("src"), F.explode(F.expr("slice(ts, p + 2, greatest(size(ts) - p - 1, 0))")).alias("dst"))
-        return pairs.groupBy("src", "dst").agg(F.sum("n").alias("weight")).where(F.col("weight") >= least)
+        return co_occurrence(self.tagged()).where(F.col("weight") >= least)
 
     def links(self, kind: int) -> DataFrame:
         e = latest(self.spark, self.base, "postlinks", "post_id", "related_post_id", "link_type_id").where(f"link_type_id = {kind}")

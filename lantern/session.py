@@ -70,10 +70,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of cut, for tables that are written once and read often."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        cut(spark.range(1))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, on whatever file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 _derived: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 
 
-def _state(spark: SparkSession, base: str, tables: tuple[str, ...]) -> str:
+def files_state(spark: SparkSession, base: str, tables: tuple[str, ...]) -> str:
     """Names, lengths and times of the files that tables consist of."""
     seen = hashlib.sha256()
     for t in tables:
@@ -90,7 +104,7 @@ def derived(spark: SparkSession, base: str, name: str, tables: tuple[str, ...],
 
     It is written to the shared checkpoint folder; `release` or a changed file lets it go.
     """
-    key, state = (spark.sparkContext.applicationId, base, name), _state(spark, base, tables)
+    key, state = (spark.sparkContext.applicationId, base, name), files_state(spark, base, tables)
     if key not in _derived or _derived[key][0] != state:
         _derived[key] = state, cut(build())
     return _derived[key][1]

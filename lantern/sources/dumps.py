@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import none_if_zero, parse_date, safe_bool, safe_int
+from ..session import exists
 
 _I, _N, _S, _D, _B = "int", "int or null", "string", "date", "bool"
 # Attributes of each dump file, the columns they become, and their kinds.
@@ -45,12 +44,12 @@ def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def read_all(spark: SparkSession, folder: str, required: tuple[str, ...] = ("users", "posts"), only: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """Every table of a local dump folder whose file is there; a required one that is missing raises FileNotFoundError."""
+    """Every table of a dump folder, on whatever file system, whose file is there; a required one that is missing raises FileNotFoundError."""
     out = {}
     for t, (file, _) in FILES.items():
         if only and t not in only:
             continue
-        if (Path(folder) / file).exists():
+        if exists(spark, f"{folder}/{file}"):
             out[t] = read_table(spark, folder, t)
         elif t in required:
             raise FileNotFoundError(f"{folder}/{file}")
