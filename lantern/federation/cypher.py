@@ -1,9 +1,10 @@
 """A subset of the graph query language, compiled to joins over edge tables.
 
 Covered: MATCH with node labels and property maps, directed, reversed and undirected relationships,
-alternation, bounded variable length, several patterns that share variables; WHERE with comparisons,
-IN, IS [NOT] NULL and [NOT] EXISTS; WITH ... WHERE on aggregates; RETURN [DISTINCT] with COUNT, SUM,
-AVG, MIN, MAX and collect, ORDER BY, SKIP and LIMIT; parameters. Within one MATCH no relationship is
+alternation, bounded variable length, several patterns that share variables, OPTIONAL MATCH; WHERE
+with comparisons, IN, IS [NOT] NULL and [NOT] EXISTS; WITH ... WHERE on aggregates; RETURN [DISTINCT]
+of properties, whole nodes, COUNT, SUM, AVG, MIN, MAX and collect, ORDER BY, SKIP and LIMIT;
+parameters; CALL db.labels(), db.relationshipTypes() and db.propertyKeys(). Within one MATCH no relationship is
 used twice. What is not covered raises CypherError when the query is compiled, before anything runs.
 """
 
@@ -95,15 +96,24 @@ class Compiler:
         if found:
             return self._shortest(*found.groups())
         state, out = _State(), None
+        call = re.match(r"\s*CALL\s+db\.(\w+)\s*\(\s*\)(?:\s+YIELD\s+(\w+)(?:\s+AS\s+(\w+))?)?", text, re.I)
+        if call:
+            out, text = self._call(*call.groups()), text[call.end() :]
+            if not text.strip():
+                return out
         parts = _clauses(text)
         order: list[str] = []
+        done = -1
         for i, (kind, body) in enumerate(parts):
+            if i <= done:
+                continue
             if kind == "MATCH":
                 state.used = []
-                for pattern in _split(body):
-                    self._pattern(state, pattern.strip())
+                self._patterns(state, body)
             elif kind == "OPTIONAL MATCH":
-                raise CypherError("OPTIONAL MATCH is not covered")
+                # A condition that follows belongs to the optional part.
+                done = i + 1 if i + 1 < len(parts) and parts[i + 1][0] == "WHERE" else i
+                self._optional(state, body, parts[done][1] if done > i else None)
             elif kind == "WHERE":
                 target = out if out is not None else state
                 if out is not None:
@@ -111,7 +121,7 @@ class Compiler:
                 else:
                     self._where(target, body)
             elif kind in ("WITH", "RETURN"):
-                out = self._project(state if out is None else None, out, body)
+                out = self._project(state if out is None else None, out, body, kind == "RETURN")
             elif kind == "ORDER BY":
                 order = _split(body)
                 if i + 1 == len(parts):
@@ -125,6 +135,46 @@ class Compiler:
             raise CypherError("nothing is returned")
         return out
 
+    def _call(self, procedure: str, column: str | None, name: str | None) -> DataFrame:
+        """What the graph knows of itself, as a table of one column."""
+        known = {
+            "labels": ("label", sorted(self.g.nodes)),
+            "relationshiptypes": ("relationshipType", sorted(self.g.edges)),
+            "propertykeys": ("propertyKey", sorted({c for df, _ in self.g.nodes.values() for c in df.columns} | {c for _, _, df in self.g.edges.values() for c in df.columns if c not in ("src", "dst")})),
+        }
+        if procedure.lower() not in known or (column and column != known[procedure.lower()][0]):
+            raise CypherError(f"no procedure db.{procedure} that yields {column}")
+        own, values = known[procedure.lower()]
+        some = next(iter(self.g.nodes.values()))[0]
+        return some.sparkSession.createDataFrame([(v,) for v in values], f"`{name or own}` string")
+
+    def _patterns(self, state: _State, body: str) -> None:
+        """The patterns of one MATCH, each as soon as it shares a variable with what is bound."""
+        todo = [p.strip() for p in _split(body)]
+        while todo:
+            bound = set(state.df.columns) if state.df is not None else set()
+            following = next((p for p in todo if not bound or bound & {m["var"] for m in _NODE.finditer(p) if m["var"]}), None)
+            if following is None:
+                raise CypherError("patterns that share no variable are not covered")
+            todo.remove(following)
+            self._pattern(state, following)
+
+    def _optional(self, state: _State, body: str, where: str | None) -> None:
+        """Rows stay as they are where the pattern is not met; what it would bind is null then."""
+        names = {m["var"] for m in _NODE.finditer(body) if m["var"]}
+        shared = sorted(names & set(state.df.columns)) if state.df is not None else []
+        if not shared:
+            raise CypherError("OPTIONAL MATCH needs a bound variable")
+        inner = _State(df=state.df.select(*shared).distinct(), labels={v: state.labels[v] for v in shared}, n=state.n)
+        self._patterns(inner, body)
+        if where:
+            self._where(inner, where)
+        new = [c for c in inner.df.columns if c not in shared and (c in inner.labels or c in inner.rels) and not c.startswith("_")]
+        state.df = state.df.join(inner.df.select(*shared, *new), shared, "left")
+        state.labels.update(inner.labels)
+        state.rels.update(inner.rels)
+        state.n = inner.n
+
     def _number(self, text: str) -> int:
         return int(self._value(text))
 
@@ -160,8 +210,9 @@ class Compiler:
             df, key = self.g.nodes[label] if label in self.g.nodes else (None, None)
             if df is None:
                 raise CypherError(f"no label {label}")
-            rows = df.select(F.col(key).alias(var)).distinct()
-            state.df = rows if state.df is None else state.df.crossJoin(rows)
+            if state.df is not None:
+                raise CypherError("patterns that share no variable are not covered")
+            state.df = df.select(F.col(key).alias(var)).distinct()
         state.labels.setdefault(var, label)
         for k, v in self._props(m["props"]).items():
             self._keep(state, self._property(state, var, k) == F.lit(v))
@@ -194,7 +245,7 @@ class Compiler:
             raise CypherError(f"cannot read pattern {text[:60]}")
         first, at, left = m, m.end(), None
         bound = m["var"] and state.df is not None and m["var"] in state.df.columns
-        if not text[at:].strip() or bound or m["props"]:
+        if not text[at:].strip() or bound or (m["props"] and state.df is None):
             left = self._node(state, m) if (m["label"] or bound) else None
         while text[at:].strip():
             r = _REL.match(text, at)
@@ -247,7 +298,7 @@ class Compiler:
         elif known:
             state.df = state.df.join(steps, F.col(b) == F.col("_end"))
         else:
-            state.df = state.df.crossJoin(steps)
+            raise CypherError("write the pattern from a bound variable on")
         if known:
             state.df = state.df.where(F.col(b) == F.col("_end")).drop("_end")
         for other in state.used:
@@ -314,7 +365,15 @@ class Compiler:
             return F.col(text)
         raise CypherError(f"cannot read expression {text}")
 
-    def _project(self, state: _State | None, df: DataFrame | None, text: str) -> DataFrame:
+    def _whole(self, state: _State, var: str) -> Column:
+        """A node with all its properties."""
+        df, key = self.g.nodes[state.labels[var]]
+        column = f"_s_{var}"
+        if column not in state.df.columns:
+            state.df = state.df.join(df.select(F.col(key).alias(var), F.struct(*df.columns).alias(column)).dropDuplicates([var]), var, "left")
+        return F.col(column)
+
+    def _project(self, state: _State | None, df: DataFrame | None, text: str, last: bool = True) -> DataFrame:
         distinct = re.match(r"DISTINCT\s+", text, re.I)
         keys, aggs, names = [], [], []
         for item in _split(text[distinct.end() :] if distinct else text):
@@ -323,7 +382,8 @@ class Compiler:
             names.append(name)
             agg = _AGG.match(expr)
             if not agg:
-                keys.append(self._expression(state, df, expr).alias(name))
+                node = last and state is not None and expr in state.labels
+                keys.append((self._whole(state, expr) if node else self._expression(state, df, expr)).alias(name))
                 continue
             f, inner = agg[1].lower(), F.lit(1) if agg[3] == "*" else self._expression(state, df, agg[3])
             if agg[2]:

@@ -68,7 +68,12 @@ class Executor:
             views = ", ".join(f"{t} AS (SELECT * FROM {n})" for t, n in names.items())
             body = text.lstrip()
             sql = f"WITH {views}, {body[4:].lstrip()}" if body[:4].upper() == "WITH" else f"WITH {views} {body}"
-            return self.spark.sql(sql if views else body).limit(self.rows)
+            try:
+                # The plan holds the views' plans; their names are needed no longer.
+                return self.spark.sql(sql if views else body).limit(self.rows)
+            finally:
+                for n in names.values():
+                    self.spark.catalog.dropTempView(n)
         if q.language == "cypher":
             if b.graph is None:
                 raise LookupError("the service has no graph")

@@ -27,11 +27,27 @@ GRAPH = {
     "graph_self_accepted": "How many questions were answered by their askers to their own satisfaction?", "graph_many_questions": "Who asked more than five questions?", "graph_both_tags": "Which questions have both of two tags?", "graph_common_tags_other": "Which tags go along with both of two other tags?",
 }
 ACROSS = {
-    "4a": ["How reputed are those who ask in a tag, and which tags go along with it?", "Who holds most badges among those who answer in many tags?", "Are linked questions scored higher than others?"],
-    "4b": ["What do the best scored questions of a tag say?", "Do longer texts score higher?", "What do users of high reputation say about themselves?"],
-    "4c": ["What do duplicates of one question say that it does not?", "Which texts of the tags next to one tag explain it?", "What do the most linked questions say?"],
-    "5": ["Who are the reputed users active of late, in which tags, and what did they answer?", "Which tags grow, what goes along with them, and what is asked in them?", "Which accepted answers of reputed users are cited in linked questions?"],
-}
+    "4a": [
+        "How reputed are those who ask in a tag, and which tags go along with it?", "Who holds most badges among those who answer in many tags?", "Are linked questions scored higher than others?", "Which reputed users answer questions that were closed as duplicates?", "How do the scores within a chain of duplicates compare?",
+        "Which months brought most questions of a tag and its neighbours?", "Do users with gold badges answer across more tags?", "How often are questions viewed that many others link to?", "Which tags with few questions go along with the most others?", "Who accepted answers of users less reputed than themselves?",
+        "How many votes fell on questions two links away from question 1?", "Which askers of low reputation had an answer accepted in a busy tag?", "How do average scores differ between tags that go along?", "Who answers most among users without any badge?", "Which linked questions have no answer yet?",
+    ],
+    "4b": [
+        "What do the best scored questions of a tag say?", "Do longer texts score higher?", "What do users of high reputation say about themselves?", "What do closed questions ask for?", "Which errors are described in the most viewed questions?",
+        "What do answers with negative scores say?", "How do questions of this year word what those of last year asked?", "Which versions do accepted answers name most?", "What do comments on the best answers add?", "What do the wikis of the most used tags explain?",
+        "How do askers without reputation describe their problem?", "Which texts in other languages score above the mean?", "What do answers given within a day of their question say?", "What do users in one country write about themselves?", "Which questions with most answers are about memory?",
+    ],
+    "4c": [
+        "What do duplicates of one question say that it does not?", "Which texts of the tags next to one tag explain it?", "What do the most linked questions say?", "What do answers to both a question and its duplicate have in common?", "How do two tags' wikis differ where the tags go along?",
+        "What does the text at the end of the longest chain say?", "Which texts connect two tags that share no question?", "What do those who answer in two tags write in each?", "Which questions around question 1 mention an error code?", "What do accepted answers of linked questions recommend?",
+        "How do the neighbours of one tag describe it?", "What do self-answered questions explain?", "Which texts do users two answers apart share words in?", "What do questions with three tags of one community say?", "Which texts of a community name a version?",
+    ],
+    "5": [
+        "Who are the reputed users active of late, in which tags, and what did they answer?", "Which tags grow, what goes along with them, and what is asked in them?", "Which accepted answers of reputed users are cited in linked questions?", "What do the best answers in the neighbourhood of a busy tag say?", "Which duplicates draw more views than their originals, and what do they say better?",
+        "Who answers first in a tag, how are they rated, and what do they advise?", "Which chains of duplicates end in a low score, and what is their text?", "What do badge holders write in tags they are new to?", "Which errors are asked about most in tags that go along?", "How do answers to linked questions differ in score and wording?",
+        "Which users connect two communities of tags, how reputed are they, and what do they write?", "What is asked in tags whose scores fall?", "Which self-answered questions are linked to most, and what do they say?", "What do closed questions of the busiest tags have in common?", "Which texts of highly viewed questions name the tags next to theirs?",
+    ],
+}
 
 
 def all_questions() -> list[Question]:

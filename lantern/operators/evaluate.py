@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sets import coverage, f1, ndcg_at, recall_at, service_kind
+from ..functions.text import long_numbers
 
 # The question classes in report order, and those that need several services.
 CLASSES = ["1", "2", "3", "4a", "4b", "4c", "5"]
@@ -50,6 +51,16 @@ def accuracy(metric: Column, found: Column, truth: Column, k: int = 10) -> Colum
     return F.when(metric == "ndcg10", ndcg_at(found, truth, k)).when(metric == "recall10", recall_at(found, truth, k)).otherwise(f1(found, truth))
 
 
+def with_accuracy(log: DataFrame, truths: DataFrame, k: int = 10) -> DataFrame:
+    """log with af, the answer measure of each row against truths (question_id, truth: ids as text, best first), null where a question has none.
+
+    What an answer cites are its numbers of at least four digits; ids are compared with ids. A
+    question has one truth, a bounded list, so the truths are broadcast by their measured size.
+    """
+    rows = log.join(truths.select("question_id", "truth"), "question_id", "left")
+    return rows.withColumn("af", F.when(F.col("truth").isNotNull(), accuracy(F.col("af_metric"), long_numbers(F.coalesce("answer", F.lit(""))), F.col("truth"), k))).drop("truth")
+
+
 def latency(log: DataFrame) -> DataFrame:
     """(system_name, n, mean, p50, p95, p99): exact interpolated percentiles to one place."""
     p = lambda q: F.bround(F.percentile("retrieval_ms", q), 1)

@@ -24,11 +24,11 @@ def rel_top_users(spark: SparkSession, base: str) -> DataFrame:
     return top(latest(spark, base, "users", "display_name", "reputation", "location"), 10, down("reputation"), F.col("id"))
 
 
-@BOOK.add("rel_users_filter_date", with_latest("users") + "SELECT id, display_name, reputation, creation_date::DATE::VARCHAR AS joined FROM users_l WHERE reputation > 200 AND creation_date < '2021-01-01'")
+@BOOK.add("rel_users_filter_date", with_latest("users") + "SELECT id, display_name, reputation, creation_date::DATE::VARCHAR AS member_since FROM users_l WHERE reputation > 200 AND creation_date < '2021-01-01'")
 def rel_users_filter_date(spark: SparkSession, base: str) -> DataFrame:
     """Conjunction, timestamp comparison, cast to date."""
     users = latest(spark, base, "users", "display_name", "reputation", "creation_date", where="creation_date < timestamp_ntz'2021-01-01'")
-    return users.where("reputation > 200").select("id", "display_name", "reputation", F.to_date("creation_date").cast("string").alias("joined"))
+    return users.where("reputation > 200").select("id", "display_name", "reputation", F.to_date("creation_date").cast("string").alias("member_since"))
 
 
 @BOOK.add("rel_top_questions", with_latest("posts") + "SELECT id, title, score, view_count, answer_count, tags FROM posts_l WHERE post_type_id = 1 ORDER BY score DESC NULLS FIRST, id LIMIT 20")
@@ -43,11 +43,11 @@ def rel_top_tags(spark: SparkSession, base: str) -> DataFrame:
     return top(table(spark, base, "tags").select("tag_name", "count"), 20, down("count"), F.col("tag_name"))
 
 
-@BOOK.add("rel_tag_ilike", with_latest("posts") + f"SELECT id, title, score, view_count, creation_date::DATE::VARCHAR AS created FROM posts_l WHERE post_type_id = 1 AND tags ILIKE '%<{MAIN}>%' ORDER BY score DESC NULLS FIRST, id LIMIT 20")
+@BOOK.add("rel_tag_ilike", with_latest("posts") + f"SELECT id, title, score, view_count, creation_date::DATE::VARCHAR AS posted_on FROM posts_l WHERE post_type_id = 1 AND tags ILIKE '%<{MAIN}>%' ORDER BY score DESC NULLS FIRST, id LIMIT 20")
 def rel_tag_ilike(spark: SparkSession, base: str) -> DataFrame:
     """Case-insensitive pattern."""
     rows = questions(spark, base, "title", "score", "view_count", "creation_date", "tags").where(F.col("tags").ilike(f"%<{MAIN}>%"))
-    return top(rows, 20, down("score"), F.col("id")).select("id", "title", "score", "view_count", F.to_date("creation_date").cast("string").alias("created"))
+    return top(rows, 20, down("score"), F.col("id")).select("id", "title", "score", "view_count", F.to_date("creation_date").cast("string").alias("posted_on"))
 
 
 @BOOK.add("rel_upvoters", with_latest("users") + "SELECT id, display_name, up_votes, down_votes, reputation FROM users_l WHERE up_votes > 50")
@@ -62,12 +62,12 @@ def rel_accepted_scored(spark: SparkSession, base: str) -> DataFrame:
     return questions(spark, base, "title", "score", "accepted_answer_id", "answer_count").where("accepted_answer_id is not null and score > 10").drop("post_type_id")
 
 
-@BOOK.add("rel_badge_count", with_latest("users", "badges") + "SELECT u.id, u.display_name, count(b.id) AS badge_count FROM users_l u JOIN badges_l b ON b.user_id = u.id GROUP BY u.id, u.display_name ORDER BY badge_count DESC, u.id LIMIT 20")
+@BOOK.add("rel_badge_count", with_latest("users", "badges") + "SELECT u.id, u.display_name, count(b.id) AS n_badges FROM users_l u JOIN badges_l b ON b.user_id = u.id GROUP BY u.id, u.display_name ORDER BY n_badges DESC, u.id LIMIT 20")
 def rel_badge_count(spark: SparkSession, base: str) -> DataFrame:
     """Join, count, top-k (J1, A1): badges are counted per user before they meet the users, so a user with many badges is one row."""
-    counts = latest(spark, base, "badges", "user_id", where="user_id is not null").groupBy("user_id").agg(F.count("*").alias("badge_count"))
+    counts = latest(spark, base, "badges", "user_id", where="user_id is not null").groupBy("user_id").agg(F.count("*").alias("n_badges"))
     rows = latest(spark, base, "users", "display_name").join(counts, F.col("id") == F.col("user_id"))
-    return top(rows.select("id", "display_name", "badge_count"), 20, F.col("badge_count").desc(), F.col("id"))
+    return top(rows.select("id", "display_name", "n_badges"), 20, F.col("n_badges").desc(), F.col("id"))
 
 
 @BOOK.add("rel_gold_holders", with_latest("users", "badges") + "SELECT DISTINCT u.id, u.display_name, u.reputation FROM users_l u JOIN badges_l b ON b.user_id = u.id WHERE b.class = 1")
@@ -83,11 +83,11 @@ def rel_many_answers(spark: SparkSession, base: str) -> DataFrame:
     return questions(spark, base, "title", "score", "answer_count", "view_count").where("answer_count > 4").drop("post_type_id")
 
 
-@BOOK.add("rel_monthly_volume", with_latest("posts") + "SELECT date_trunc('month', creation_date)::DATE::VARCHAR AS month, count(*) AS question_count FROM posts_l WHERE post_type_id = 1 AND creation_date >= '2022-01-01' AND creation_date < '2023-01-01' GROUP BY 1")
+@BOOK.add("rel_monthly_volume", with_latest("posts") + "SELECT date_trunc('month', creation_date)::DATE::VARCHAR AS month, count(*) AS n_questions FROM posts_l WHERE post_type_id = 1 AND creation_date >= '2022-01-01' AND creation_date < '2023-01-01' GROUP BY 1")
 def rel_monthly_volume(spark: SparkSession, base: str) -> DataFrame:
     """Half-open time range, group by an expression."""
     rows = questions(spark, base, "creation_date", where="creation_date >= timestamp_ntz'2022-01-01' and creation_date < timestamp_ntz'2023-01-01'")
-    return rows.groupBy(F.to_date(F.date_trunc("month", "creation_date")).cast("string").alias("month")).agg(F.count("*").alias("question_count"))
+    return rows.groupBy(F.to_date(F.date_trunc("month", "creation_date")).cast("string").alias("month")).agg(F.count("*").alias("n_questions"))
 
 
 @BOOK.add("rel_two_metrics", with_latest("users") + "SELECT id, display_name, up_votes, down_votes, reputation FROM users_l WHERE up_votes > 20 AND down_votes > 2")
@@ -114,25 +114,25 @@ def rel_location_ilike(spark: SparkSession, base: str) -> DataFrame:
     return latest(spark, base, "users", "display_name", "reputation", "location").where(F.col("location").ilike("%trikifelia%"))
 
 
-@BOOK.add("rel_tag_badge_holders", with_latest("badges") + "SELECT name AS badge_name, count(DISTINCT user_id) AS holder_count FROM badges_l WHERE tag_based = TRUE GROUP BY name ORDER BY holder_count DESC, name LIMIT 20")
+@BOOK.add("rel_tag_badge_holders", with_latest("badges") + "SELECT name AS badge_name, count(DISTINCT user_id) AS n_holders FROM badges_l WHERE tag_based = TRUE GROUP BY name ORDER BY n_holders DESC, name LIMIT 20")
 def rel_tag_badge_holders(spark: SparkSession, base: str) -> DataFrame:
     """Boolean predicate, count distinct."""
     rows = latest(spark, base, "badges", "name", "user_id", "tag_based").where("tag_based")
-    return top(rows.groupBy(F.col("name").alias("badge_name")).agg(F.countDistinct("user_id").alias("holder_count")), 20, F.col("holder_count").desc(), F.col("badge_name"))
+    return top(rows.groupBy(F.col("name").alias("badge_name")).agg(F.countDistinct("user_id").alias("n_holders")), 20, F.col("n_holders").desc(), F.col("badge_name"))
 
 
-@BOOK.add("rel_answer_scores", with_latest("posts") + "SELECT id AS answer_id, score, creation_date::DATE::VARCHAR AS created FROM posts_l WHERE post_type_id = 2 AND parent_id = 1")
+@BOOK.add("rel_answer_scores", with_latest("posts") + "SELECT id AS answer_id, score, creation_date::DATE::VARCHAR AS posted_on FROM posts_l WHERE post_type_id = 2 AND parent_id = 1")
 def rel_answer_scores(spark: SparkSession, base: str) -> DataFrame:
     """Key lookup."""
     rows = latest(spark, base, "posts", "post_type_id", "score", "creation_date", where="parent_id = 1").where("post_type_id = 2")
-    return rows.select(F.col("id").alias("answer_id"), "score", F.to_date("creation_date").cast("string").alias("created"))
+    return rows.select(F.col("id").alias("answer_id"), "score", F.to_date("creation_date").cast("string").alias("posted_on"))
 
 
-@BOOK.add("rel_zero_reputation", with_latest("users") + "SELECT id, display_name, creation_date::DATE::VARCHAR AS joined FROM users_l WHERE reputation = 1 ORDER BY creation_date DESC NULLS FIRST, id LIMIT 50")
+@BOOK.add("rel_zero_reputation", with_latest("users") + "SELECT id, display_name, creation_date::DATE::VARCHAR AS member_since FROM users_l WHERE reputation = 1 ORDER BY creation_date DESC NULLS FIRST, id LIMIT 50")
 def rel_zero_reputation(spark: SparkSession, base: str) -> DataFrame:
     """Sort by an unselected expression (O1, O2)."""
     rows = latest(spark, base, "users", "display_name", "reputation", "creation_date").where("reputation = 1")
-    return top(rows, 50, down("creation_date"), F.col("id")).select("id", "display_name", F.to_date("creation_date").cast("string").alias("joined"))
+    return top(rows, 50, down("creation_date"), F.col("id")).select("id", "display_name", F.to_date("creation_date").cast("string").alias("member_since"))
 
 
 @BOOK.add("rel_closed_duplicates", with_latest("posts", "postlinks") + "SELECT DISTINCT p.id, p.title, p.score FROM posts_l p JOIN postlinks_l l ON l.post_id = p.id AND l.link_type_id = 3 WHERE p.closed_date IS NOT NULL")
@@ -146,7 +146,7 @@ def rel_closed_duplicates(spark: SparkSession, base: str) -> DataFrame:
 @BOOK.add(
     "rel_avg_score_per_tag",
     TAGS_SQL + """, scored AS (SELECT id, score FROM posts QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) = 1)
-SELECT t.tag_name, avg(s.score)::DECIMAL(10,2)::DOUBLE AS avg_score, count(*) AS question_count
+SELECT t.tag_name, avg(s.score)::DECIMAL(10,2)::DOUBLE AS avg_score, count(*) AS n_questions
 FROM (SELECT DISTINCT tag_name FROM tags) t JOIN tagged g ON g.tag = lower(t.tag_name) JOIN scored s ON s.id = g.post_id
 GROUP BY t.tag_name HAVING count(*) >= 5 ORDER BY avg_score DESC, t.tag_name LIMIT 15""",
 )
@@ -157,9 +157,9 @@ def rel_avg_score_per_tag(spark: SparkSession, base: str) -> DataFrame:
     # The parsed tags that the graph queries share as well.
     edges = Graph(spark, base).tagged().select(F.col("src").alias("id"), F.col("dst").alias("tag"))
     tagged = edges.join(questions(spark, base, "score").select("id", "score"), "id")
-    per_tag = tagged.groupBy("tag").agg(F.avg("score").cast("decimal(10,2)").cast("double").alias("avg_score"), F.count("*").alias("question_count")).where("question_count >= 5")
+    per_tag = tagged.groupBy("tag").agg(F.avg("score").cast("decimal(10,2)").cast("double").alias("avg_score"), F.count("*").alias("n_questions")).where("n_questions >= 5")
     names = table(spark, base, "tags").select("tag_name").distinct()
-    rows = names.join(per_tag, F.lower("tag_name") == F.col("tag")).select("tag_name", "avg_score", "question_count")
+    rows = names.join(per_tag, F.lower("tag_name") == F.col("tag")).select("tag_name", "avg_score", "n_questions")
     return top(rows, 15, F.col("avg_score").desc(), F.col("tag_name"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lantern.functions import sets
 from lantern.functions.text import excerpt, long_numbers, mentions, parse_date, safe_bool, safe_int, simple_tags, tokens
 from lantern.operators import evaluate, integrate
-from lantern.operators.bm25 import field_tokens, keyword, postings, search
+from lantern.operators.bm25 import build_index, field_tokens, keyword, postings, search, search_index
 
 DOCS = [(1, "Red fox", "the fox runs"), (2, "", "fox fox dog"), (3, "Dog", "a quiet dog sleeps"), (4, None, None), (5, "Fox", "unrelated words here"), (6, "Fox", "unrelated words here")]
 
@@ -43,6 +43,23 @@ def test_postings_and_keyword(docs):
     assert [r.id for r in keyword(docs, "title", "Fox").orderBy("id").collect()] == [5, 6]
 
 
+def test_search_over_a_stored_index(spark, docs, tmp_path):
+    keyed = docs.withColumn("tag_name", F.when(F.col("id") == 4, "red fox").when(F.col("id") == 6, "fox"))
+    asked = spark.createDataFrame([("q", "fox"), ("k", "red fox"), ("none", "the of"), ("empty", ""), ("null", None), ("both", "FOX dog fox"), ("odd", "zebra")], "query_id string, text string")
+    path = str(tmp_path / "index")
+    build_index(keyed, "id", ["title", "text"], ["tag_name"], path, 4)
+    plain = {tuple(r) for r in search(docs, "id", {"title": 2.0, "text": 1.0}, asked.where("text is not null")).collect()}
+    assert {tuple(r) for r in search_index(spark, path, {"title": 2.0, "text": 1.0}, asked).collect()} == plain
+    found = search_index(spark, path, {"title": 2.0, "text": 1.0, "tag_name": 9.0}, asked)
+    got = {(r.query_id, r.rank_no): r.doc for r in found.collect()}
+    # The keyword field takes the whole question, as it stands.
+    assert got["k", 1] == 4 and got["q", 1] == 6 and not any(q in ("none", "empty", "null", "odd") for q, _ in got)
+    scan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in scan and "In(term" in scan
+    build_index(keyed.limit(0), "id", ["title", "text"], ["tag_name"], f"{path}0")
+    assert search_index(spark, f"{path}0", {"title": 2.0, "tag_name": 1.0}, asked).count() == 0
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
@@ -68,6 +85,8 @@ def test_measures(spark):
     assert [one(spark, sets.f1(array(*x), array(*y))) for x, y in (((), ()), (("a",), ()), ((), ("a",)), (("a",), ("b",)))] == [1, 0, 0, 0]
     assert one(spark, sets.recall_at(array(*"abcdefghijklmno"), array("a", "o"), 10)) == 0.5
     assert one(spark, sets.ndcg_at(array("a", "b"), array("a", "b"), 10)) == pytest.approx(1) and one(spark, sets.ndcg_at(array("b", "a"), array("a", "b"), 10)) < 1
+    # What the truth holds beyond k is no gain.
+    assert one(spark, sets.ndcg_at(array("c"), array("a", "b", "c"), 2)) == 0 and one(spark, sets.ndcg_at(array("c"), array("a", "b", "c"), 3)) > 0
     assert one(spark, sets.ndcg_at(array("x"), array(), 10)) == 1 and one(spark, sets.ndcg_at(array(), array("x"), 10)) == 0
     assert one(spark, sets.coverage(array("sql", "graph"), array("sql"))) == 0.5 and one(spark, sets.coverage(array(), array())) == 1
     assert [one(spark, sets.service_kind(F.lit(s))) for s in ("x-sql-1", "Neo4j", "elastic", "other")] == ["sql", "graph", "document", "other"]

@@ -266,6 +266,47 @@ def test_benchmark_job_resumes(spark, engine_parts, tmp_path):
     assert (tmp_path / "report" / "latency_csv").exists()
 
 
+def fresh():
+    """A catalog whose services have just been heard of."""
+    catalog = Catalog()
+    for n, kind in ((1, "sql"), (2, "graph"), (3, "document")):
+        catalog.register(service(n, kind))
+    return catalog
+
+
+def test_answers_are_measured(spark, engine_parts, tmp_path):
+    from lantern.jobs.benchmark import Question, metrics, report, run, spot_check
+
+    catalog, executor = fresh(), engine_parts[1]
+    engines = {"full": Engine(spark, catalog, executor, RuleProvider(RULES), FixedProvider("See 1001 and 1003."), "full")}
+    asked = [Question("c1_q01", "1", "How many?", ("sql",)), Question("c2_q01", "2", "Who knows whom?", ("graph",), "ndcg10"), Question("c3_q01", "3", "How many?", ("sql",), "recall10"), Question("c5_q01", "5", "How many?", ("sql",))]
+    path = str(tmp_path / "log")
+    assert run(spark, asked, engines, path) == 4
+    right = spark.createDataFrame([("c1_q01", ["1001", "1002"]), ("c2_q01", ["1001", "1003"]), ("c3_q01", ["1003", "1009"])], "question_id string, truth array<string>")
+    found = metrics(spark, path, right)
+    got = {r.query_class: (r.n, r["mean"]) for r in found["accuracy_by_class"].collect()}
+    assert got == {"1": (1, 0.5), "2": (1, 1.0), "3": (1, 0.5), "aggregate": (3, 0.6667)}
+    summary = found["summary"].first()
+    assert summary.accuracy == 0.6667 and summary.n == 4 and summary.mean_ms > 0 and len(found) == 6
+    report(spark, path, str(tmp_path / "report"), right)
+    assert len([p for p in (tmp_path / "report").iterdir() if p.name.endswith("_csv")]) == 6
+    assert spot_check(spark, asked[:2], engines, str(tmp_path / "spot")) == 2
+    spot = spark.read.option("header", True).csv(str(tmp_path / "spot")).collect()
+    assert {(r.question_id, r.answer) for r in spot} == {("c1_q01", "See 1001 and 1003."), ("c2_q01", "See 1001 and 1003.")} and all(float(r.duration_ms) > 0 for r in spot)
+
+
+def test_routed_strategy_and_its_fallback(spark, engine_parts):
+    catalog, executor = fresh(), engine_parts[1]
+    ids = {s.kind: s.service_id for s in catalog.all()}
+    said = json.dumps({"services": [ids["sql"], "nobody"], "queries": {ids["sql"]: "SELECT 7 AS seven"}})
+    a = Engine(spark, catalog, executor, FixedProvider(said), FixedProvider("fine"), "routed").ask("q", "How many?")
+    assert a.queried == [ids["sql"]] and a.context == "[1] (1.000) seven: 7" and a.answer == "fine" and a.n_conflicts == 0
+    lost = Engine(spark, catalog, executor, FixedProvider("no idea"), FixedProvider("fine"), "routed").ask("q", "How many?")
+    assert set(lost.queried) | set(lost.failed) == set(ids.values())
+    none = Engine(spark, catalog, executor, FixedProvider('{"services": []}'), FixedProvider("fine"), "routed").ask("q", "How many?")
+    assert none.refused and not none.queried
+
+
 def test_http_provider():
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -305,6 +346,6 @@ def test_benchmark_questions():
     from lantern.jobs.questions import all_questions, truth
 
     qs = all_questions()
-    assert len({q.question_id for q in qs}) == len(qs) == 72 and {q.label for q in qs} == {"1", "2", "3", "4a", "4b", "4c", "5"}
+    assert len({q.question_id for q in qs}) == len(qs) == 120 and {q.label for q in qs} == {"1", "2", "3", "4a", "4b", "4c", "5"}
     known = entry.queries()
     assert all(truth(q.question_id) in known for q in qs if q.label in "123") and truth("c5_q01") is None
