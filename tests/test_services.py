@@ -17,7 +17,7 @@ from lantern.federation.validation import parses, validate
 from lantern.sources import logs
 from lantern.sources.dumps import read_all, read_communities, read_table
 from lantern.streaming.heartbeats import expired, watch
-from lantern.streaming.ingest import count_by_window, load_new, merge_new
+from lantern.streaming.ingest import count_by_window, load_new, merge_new, read_merged
 
 
 def service(n, kind="sql", **more):
@@ -206,8 +206,15 @@ def test_incremental_loading(spark, tmp_path):
         load_new(spark, src, SCHEMA, out, f"{tmp_path}/c1").awaitTermination()
         merge_new(spark, src, SCHEMA, merged, f"{tmp_path}/c2", ["id"], ["v"]).awaitTermination()
     assert spark.read.parquet(out).count() == 4
-    version = spark.read.json(f"{merged}/_version").first().version
-    assert {r.id: r.v for r in spark.read.parquet(f"{merged}/v{version}").collect()} == {1: "new", 2: "b", 3: "c"}
+    now = read_merged(spark, merged, SCHEMA)
+    assert {r.id: r.v for r in now.collect()} == {1: "new", 2: "b", 3: "c"}
+    # A batch leaves the buckets alone that none of its keys falls into.
+    for n in range(3):
+        write(spark, src, [(100 + n, "x", datetime(2024, 3, 1 + n))])
+        merge_new(spark, src, SCHEMA, merged, f"{tmp_path}/c2", ["id"], ["v"]).awaitTermination()
+    assert {r.id: r.v for r in read_merged(spark, merged, SCHEMA).collect()} == {1: "new", 2: "b", 3: "c", 100: "x", 101: "x", 102: "x"}
+    assert len(list((tmp_path / "merged" / "v4").glob("bucket=*"))) == 1
+    assert read_merged(spark, f"{merged}0", SCHEMA).count() == 0
 
 
 def test_heartbeats(spark, tmp_path):
