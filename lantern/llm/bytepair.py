@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -222,6 +223,8 @@ class Decoder:
         return self.machine.decode(b"", True)
 
 
+#: Ids that an output batch holds before it is sent, but for the last text's.
+HELD_IDS = 1 << 20
 _worker: list = [None, None]
 
 
@@ -245,11 +248,15 @@ def encode_corpus(df: DataFrame, key: str, text: str, path: str = VOCABULARY) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = _merges(shared)
         for b in batches:
-            rows = [encode(merges, t) for t in b.column(1).to_pylist()]
-            ends = np.zeros(len(rows) + 1, np.int32)
-            np.cumsum([len(r) for r in rows], out=ends[1:])
-            flat = np.fromiter((i for r in rows for i in r), np.int32, int(ends[-1]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[key, "ids"])
+            first, flat, ends = 0, array("i"), [0]
+            for n in range(b.num_rows):
+                flat.extend(encode(merges, b.column(1)[n].as_py()))
+                ends.append(len(flat))
+                # The ids of a batch of long texts leave in parts.
+                if len(flat) >= HELD_IDS or n + 1 == b.num_rows:
+                    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)))
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n + 1 - first), ids], names=[key, "ids"])
+                    first, flat, ends = n + 1, array("i"), [0]
 
     return spread(df.select(key, text), key).mapInArrow(run, f"{key} {kind}, ids array<int>")
 

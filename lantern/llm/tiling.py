@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,21 +37,27 @@ def words(text: str | None) -> list[str]:
 
 
 class Index:
-    """The windows of a set of items."""
+    """The windows of a set of items, in sorted arrays: twenty bytes a word besides the different words."""
 
     def __init__(self, items: list[tuple[int, str]], shortest: int = SHORTEST):
         self.shortest = shortest
         self.number: dict[str, int] = {}
-        self.items: list[tuple[int, list[int]]] = []
-        self.windows: dict[int, list[tuple[int, int]]] = {}
+        self.items: list[tuple[int, array]] = []
         self.top = pow(_BASE, shortest - 1, _MOD)
+        hashes, owners, starts = array("q"), array("i"), array("i")
         for key, text in items:
-            seq = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
+            seq = array("i", (self.number.setdefault(w, len(self.number) + 1) for w in words(text)))
             for at, h in self.rolling(seq):
-                self.windows.setdefault(h, []).append((len(self.items), at))
+                hashes.append(h)
+                owners.append(len(self.items))
+                starts.append(at)
             self.items.append((key, seq))
+        found = np.frombuffer(hashes, np.int64) if hashes else np.zeros(0, np.int64)
+        order = np.argsort(found, kind="stable")
+        self.hashes = found[order]
+        self.owners, self.starts = (np.frombuffer(x, np.int32)[order] if x else np.zeros(0, np.int32) for x in (owners, starts))
 
-    def rolling(self, seq: list[int]) -> Iterator[tuple[int, int]]:
+    def rolling(self, seq: list[int] | array) -> Iterator[tuple[int, int]]:
         """(start, hash) of every window of seq."""
         k, h = self.shortest, 0
         for i, w in enumerate(seq):
@@ -62,7 +70,7 @@ class Index:
     def seeds(self, text: str | None) -> tuple[list[int], dict[int, list[tuple[int, int]]]]:
         """The numbered words of a text (0: in no item) and, by item, the (text, item) starts of equal windows."""
         number, k, found = self.number, self.shortest, {}
-        seq = [number.get(w, 0) for w in words(text)]
+        seq = array("i", (number.get(w, 0) for w in words(text)))
         start, n = 0, len(seq)
         while start < n:
             # Only stretches of words that items know at all can hold a window.
@@ -71,10 +79,14 @@ class Index:
             except ValueError:
                 end = n
             if end - start >= k:
-                for at, h in self.rolling(seq[start:end]):
-                    for item, pos in self.windows.get(h, ()):
-                        if seq[start + at : start + at + k] == self.items[item][1][pos : pos + k]:
-                            found.setdefault(item, []).append((start + at, pos))
+                own = np.fromiter((h for _, h in self.rolling(seq[start:end])), np.int64, end - start - k + 1)
+                low, high = np.searchsorted(self.hashes, own, "left"), np.searchsorted(self.hashes, own, "right")
+                for at in np.flatnonzero(high > low):
+                    window = seq[start + at : start + at + k]
+                    for j in range(low[at], high[at]):
+                        item, pos = int(self.owners[j]), int(self.starts[j])
+                        if window == self.items[item][1][pos : pos + k]:
+                            found.setdefault(item, []).append((start + int(at), pos))
             start = end + 1
         return seq, found
 

@@ -346,3 +346,24 @@ def test_redaction_keeps_every_character_outside_its_spans(text):
         assert out.startswith(text[(found[n - 1][1] if n else 0) : a] + mark, at)
         at += a - (found[n - 1][1] if n else 0) + len(mark)
     assert out[at:] == text[(found[-1][1] if found else 0) :]
+
+
+def test_ids_leave_in_parts(spark, merges, monkeypatch):
+    texts = ["", None, "a b c d e f g h", "x", "long " * 50, "", "end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    whole = {r.doc_id: r.ids for r in bp.encode_corpus(df, "doc_id", "text").collect()}
+    monkeypatch.setattr(bp, "HELD_IDS", 3)
+    assert {r.doc_id: r.ids for r in bp.encode_corpus(df, "doc_id", "text").collect()} == whole
+    assert whole == {n: bp.encode(merges, t) for n, t in enumerate(texts)}
+
+
+def test_index_of_items_is_compact():
+    import pickle
+
+    rnd = random.Random(4)
+    vocabulary = [f"word{n}" for n in range(3000)]
+    items = [(n, " ".join(rnd.choice(vocabulary) for _ in range(60))) for n in range(2000)]
+    index = Index(items)
+    assert len(pickle.dumps(index)) < 6 * sum(len(t) for _, t in items)
+    text = items[7][1] + " and " + " ".join(items[9][1].split()[5:30])
+    assert set(index.seeds(text)[1]) == {7, 9}
