@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.bm25 import search
+from ..operators.bm25 import search, search_index
 from .cypher import GraphSource, run
 from .planning import Plan, ServiceQuery
 
@@ -21,13 +21,14 @@ ROWS, HITS, SECONDS = 50, 10, 10.0
 
 @dataclass
 class Binding:
-    """Where a service's data is: views for SQL, a graph, or documents with the boosts of their fields."""
+    """Where a service's data is: views for SQL, a graph, or documents with the boosts of their fields and, if it is stored, their index."""
 
     views: dict[str, DataFrame] = field(default_factory=dict)
     graph: GraphSource | None = None
     documents: DataFrame | None = None
     boosts: dict[str, float] = field(default_factory=dict)
     key: str = "doc_id"
+    index: str | None = None
 
     @classmethod
     def jdbc(cls, spark: SparkSession, url: str, tables: list[str], **options: str) -> Binding:
@@ -81,7 +82,8 @@ class Executor:
         if b.documents is None:
             raise LookupError("the service has no documents")
         asked = self.spark.createDataFrame([(q.query_id, q.native)], "query_id string, text string")
-        found = search(b.documents, b.key, b.boosts, asked, self.hits).select(F.col("doc"), F.col("score").alias("_score"), "rank_no")
+        found = search_index(self.spark, b.index, b.boosts, asked, self.hits) if b.index else search(b.documents, b.key, b.boosts, asked, self.hits)
+        found = found.select(F.col("doc"), F.col("score").alias("_score"), "rank_no")
         rows = b.documents.join(F.broadcast(found), b.documents[b.key] == found["doc"]).drop("doc")
         return rows.orderBy("rank_no")
 
