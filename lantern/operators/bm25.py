@@ -91,7 +91,7 @@ def build_index(docs: DataFrame, key: str, fields: list[str], keywords: list[str
         stats = stats.unionByName(one.groupBy("field").agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("avgdl")))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    stats.withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    stats.withColumn("buckets", F.lit(buckets)).withColumn("doc", F.lit(dict(docs.dtypes)[key])).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 #: Terms of questions that become a condition at the scan; more are joined.
@@ -101,22 +101,23 @@ LISTED = 1000
 def search_index(spark: SparkSession, path: str, boosts: dict[str, float], questions: DataFrame, k: int = 10) -> DataFrame:
     """As search, over an index that build_index wrote; boosts names its fields, analysed and keyword ones.
 
-    The questions are a stated set; their terms are collected to name the buckets to read.
+    The questions are a stated set; their terms are collected to name the buckets to read. Query ids are
+    text.
     """
-    stats = spark.read.schema("field string, n long, avgdl double, buckets int").parquet(f"{path}/stats").where(F.col("field").isin(*boosts))
+    stats = spark.read.schema("field string, n long, avgdl double, buckets int, doc string").parquet(f"{path}/stats").where(F.col("field").isin(*boosts))
     known = stats.collect()
     keywords = [r.field for r in known if r.avgdl is None]
-    asked = _asked(questions, [f for f in boosts if f not in keywords], keywords)
     buckets = known[0].buckets if known else 1
+    asked = _asked(questions, [f for f in boosts if f not in keywords], keywords).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    said = asked.collect()
+    terms = {(r.bucket, r.term) for r in said}
+    asked = spark.createDataFrame([(r.query_id, r.field, r.term) for r in said], "query_id string, field string, term string")
     # The postings' schema is fixed, so no file is opened to learn it.
-    terms = asked.select("term", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")).distinct()
-    listed = terms.limit(LISTED + 1).collect()
-    kind = "bigint" if not known else dict(spark.read.parquet(f"{path}/postings").dtypes)["doc"]
-    rows = spark.read.schema(f"term string, field string, doc {kind}, tf long, dl int, bucket int").parquet(f"{path}/postings").where(F.col("field").isin(*boosts))
-    if len(listed) <= LISTED:
-        rows = rows.where(F.col("bucket").isin(*{r.bucket for r in listed}) & F.col("term").isin(*{r.term for r in listed}))
+    rows = spark.read.schema(f"term string, field string, doc {known[0].doc if known else 'bigint'}, tf long, dl int, bucket int").parquet(f"{path}/postings").where(F.col("field").isin(*boosts))
+    if len(terms) <= LISTED:
+        rows = rows.where(F.col("bucket").isin(*{b for b, _ in terms}) & F.col("term").isin(*{t for _, t in terms}))
     else:
-        rows = rows.join(F.broadcast(terms), ["bucket", "term"], "left_semi")
+        rows = rows.join(F.broadcast(spark.createDataFrame(sorted(terms), "bucket int, term string")), ["bucket", "term"], "left_semi")
     local = spark.createDataFrame([(r.field, r.n, r.avgdl) for r in known], "field string, n long, avgdl double")
     return _ranked(rows.drop("bucket"), local, asked, boosts, k)
 
