@@ -98,13 +98,13 @@ def integ_normalise_doc(spark: SparkSession, base: str) -> DataFrame:
     return _normalised(spark, base, "document")
 
 
-@BOOK.add("integ_mentions", "SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(list_filter(regexp_extract_all(text[1:500], '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-zA-Z]{2,}'))) AS word FROM documents WHERE text IS NOT NULL) GROUP BY word ORDER BY n DESC, word LIMIT 200")
+@BOOK.add("integ_mentions", "SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(list_filter(regexp_extract_all(text[1:500], '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-zA-Z]{2,}'))) AS word FROM documents WHERE text IS NOT NULL) GROUP BY word")
 def integ_mentions(spark: SparkSession, base: str) -> DataFrame:
     """Capitalised mentions in texts."""
     words = table(spark, base, "documents").where("text is not null").select("doc_id", F.explode(I.mentions(F.col("text"))).alias("word"))
     # A document's repetitions are one row with a count before words are counted over documents.
     rows = words.groupBy("word", "doc_id").agg(F.count("*").alias("c")).groupBy("word").agg(F.sum("c").alias("n"), F.count("*").alias("n_docs"))
-    return rows.orderBy(F.desc("n"), "word").limit(200)
+    return rows
 
 
 @BOOK.add("integ_entity_keys", _BATCH + "SELECT * FROM keys")
